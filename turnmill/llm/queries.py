@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.llm.leaks import leaked_passages
+from turnmill.llm.spans import shared_parts, shared_spans
 from turnmill.llm.titles import best_titles
 from turnmill.llm.turns import infer_speakers, spoken_cues, turns
 from turnmill.sources.tables import records, table
@@ -19,6 +20,20 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return typed.join(best, "value").select("record_kind", "record_id", "title_id")
 
 
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    quotes = table(spark, folder, "insight_quotes", "quote_id", "quoted_text").toDF("record_id", "text").withColumn("record_kind", F.lit("quote"))
+    chunks = table(spark, folder, "fixed_chunks", "id", "text").toDF("record_id", "text").withColumn("record_kind", F.lit("chunk"))
+    return shared_spans(quotes.unionByName(chunks), ["record_kind", "record_id"], "text")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _spans(spark, folder).select("record_kind", "record_id", "span_start", "span_end")
+
+
+def p4_shared_part(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_parts(_spans(spark, folder), ["record_kind", "record_id"])
+
+
 def _cues(spark: SparkSession, folder: str) -> DataFrame:
     cues = table(spark, folder, "segments", "video_id", "segment_id", "cue_start", "cue_end", "text", "vimeo_generated_speaker")
     return spoken_cues(cues, "video_id", "segment_id", "cue_start", "cue_end", "text", "vimeo_generated_speaker")
@@ -50,6 +65,8 @@ def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_shared_part": p4_shared_part,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
     "p5_inferred": p5_inferred,
