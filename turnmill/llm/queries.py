@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.llm.leaks import leaked_passages
+from turnmill.llm.pairs import pair_defects
 from turnmill.llm.spans import shared_parts, shared_spans
 from turnmill.llm.titles import best_titles
 from turnmill.llm.turns import infer_speakers, spoken_cues, turns
 from turnmill.sources.tables import records, table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    questions = table(spark, folder, "questions", "question_id", "insight_id", "question")
+    return pair_defects(questions, "question_id", "insight_id", "question", table(spark, folder, "insights", "insight_id", "comprehensive_answer"), "insight_id", "comprehensive_answer")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     quotes = records(spark, folder, "insight_quotes", "quote_id", "transcript_title").select(F.lit("quote").alias("record_kind"), F.col("quote_id").alias("record_id"), F.col("transcript_title").alias("value"))
     chunks = records(spark, folder, "fixed_chunks", "id", "title").select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"), F.col("title").alias("value"))
@@ -64,6 +70,7 @@ def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_shared_part": p4_shared_part,
