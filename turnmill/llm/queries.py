@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnmill.llm.leaks import leaked_passages
+from turnmill.llm.packing import pack
 from turnmill.llm.pairs import pair_defects
+from turnmill.llm.pieces import split_oversized
 from turnmill.llm.spans import shared_parts, shared_spans
 from turnmill.llm.titles import best_titles
+from turnmill.llm.tokens import n_tokens
 from turnmill.llm.turns import infer_speakers, spoken_cues, turns
 from turnmill.sources.tables import records, table
 
@@ -57,10 +60,25 @@ def p5_inferred(spark: SparkSession, folder: str) -> DataFrame:
     return infer_speakers(_cues(spark, folder))
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = table(spark, folder, "documents", "doc_id", "text").select("doc_id", n_tokens(F.col("text")).alias("n_tokens"))
+    return pack(sizes, "doc_id", "n_tokens").withColumnRenamed("item_id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are: how many by fill, in steps of a tenth."""
+    room = p6_containers(spark, folder).groupBy("container").agg(F.sum("size").alias("held"), F.count("*").alias("items"))
+    return room.groupBy(F.least(F.floor(F.col("held") * 10 / 8192), F.lit(9)).alias("tenth")).agg(F.count("*").alias("containers"), F.sum("held").alias("tokens"), F.sum("items").alias("items"))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_passages(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
 
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", limit=512, overlap=64)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).select("doc_id", "item_id").distinct()
 
@@ -77,8 +95,11 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_turns": p5_turns,
     "p5_inferred": p5_inferred,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_passages": p7_passages,
+    "p8_pieces": p8_pieces,
 }
 
 SQL: dict[str, str] = {}
