@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnmill.plans import intervals
+from turnmill.plans import intervals, search
 
-_PARTS = [intervals]
+_PARTS = [intervals, search]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return intervals.p3_found(spark, folder)
+    return search.semantic_topk(spark, folder)
