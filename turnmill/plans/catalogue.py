@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnmill.plans import intervals, search
+from turnmill.plans import intervals, quality, search, transcripts
 
-_PARTS = [intervals, search]
+_PARTS = [intervals, search, transcripts, quality]
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 
