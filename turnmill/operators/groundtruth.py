@@ -11,9 +11,10 @@ KEY = 5  # words of a search key
 
 
 def _keys(ws: Column) -> Column:
-    """Fingerprints of all runs of :data:`KEY` words."""
-    each = F.transform(F.sequence(F.lit(1), F.size(ws) - KEY + 1), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, KEY), " ")))
-    return F.when(F.size(ws) >= KEY, each).otherwise(F.array().cast("array<bigint>"))
+    """Fingerprints of all runs of :data:`KEY` words of an array that is a column of its own."""
+    n = F.size(ws) - KEY + 1
+    side_by_side = F.arrays_zip(*[F.slice(ws, i + 1, F.greatest(n, F.lit(0))).alias(f"w{i}") for i in range(KEY)])
+    return F.transform(side_by_side, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(KEY)]))
 
 
 def located(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:
@@ -28,8 +29,8 @@ def located(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFrame, t
     t = texts.select(F.col(text_id).alias("_tid"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     own = p.select("_phrase").distinct().withColumn("_w", words(F.col("_phrase"))).where(F.size("_w") >= KEY)
     inner = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))
-    own = own.withColumn("_key", F.explode(F.array_distinct(_keys(F.when(F.size("_w") >= KEY + 2, inner).otherwise(F.col("_w"))))))
-    posting = t.select("_text").distinct().withColumn("_t", F.xxhash64("_text")).withColumn("_key", F.explode(F.array_distinct(_keys(words(F.col("_text"))))))
+    own = own.withColumn("_i", F.when(F.size("_w") >= KEY + 2, inner).otherwise(F.col("_w"))).withColumn("_key", F.explode(F.array_distinct(_keys(F.col("_i")))))
+    posting = t.select("_text").distinct().select(F.xxhash64("_text").alias("_t"), words(F.col("_text")).alias("_i")).select("_t", F.explode(F.array_distinct(_keys(F.col("_i")))).alias("_key"))
     wanted = posting.select("_key", "_t").join(own.select("_key").distinct(), "_key", "left_semi")
     frequency = wanted.groupBy("_key").agg(F.count("*").alias("_df"))
     rarest = own.join(frequency, "_key").groupBy("_phrase").agg(F.min(F.struct("_df", "_key")).alias("_m"), F.count("*").alias("_known"), F.max(F.size("_w")).alias("_n"))
