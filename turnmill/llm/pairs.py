@@ -100,8 +100,8 @@ def is_truncated(answer: str) -> bool:
             stack.append(mark)
         elif stack[-1:] == [_PAIRS[mark]]:
             stack.pop()
-    if stack:
-        return True
+    if stack or text.endswith("```"):
+        return bool(stack)
     lines = [x for x in text.split("\n") if x.strip()]
     items = [m for m in map(_ITEM.match, lines) if m]
     last = _ITEM.match(lines[-1])
@@ -109,7 +109,7 @@ def is_truncated(answer: str) -> bool:
         sizes = [len((m[1] or "").split()) for m in items]
         return not sizes[-1] or (len(sizes) > 2 and len(set(sizes[:-1])) == 1 and sizes[-1] < sizes[0] and not re.search(r"[.!?]$", text))
     bare = re.sub(r"[\"'’”»」』)\]*_`]+$", "", text)
-    if re.search(r"(?:\.{2,}|…)$", bare) or re.search(r"(?:^|\s)\d{1,2}[.)]$", text):
+    if re.search(r"(?:\.{2,}|…)$", bare) or re.search(r"(?:^|[.!?:;]\s+|\n\s*)\d{1,2}[.)]$", text):
         return True
     if (steps := re.match(r"\s*(?:there are|here are)\s+(\w+)\s+(?:steps|points|reasons|things|parts|ways)", text, re.I)) and (told := re.findall(r"(?:^|\s)(\d{1,2})[.)]\s", text)):
         wanted = NUMBERS.get(steps[1].lower()) or (int(steps[1]) if steps[1].isdigit() else 0)

@@ -155,7 +155,8 @@ def shared_spans(df: DataFrame, record: list[str], text: str, min_len: int = MIN
     opening characters. Other columns are ignored; an empty table gives no rows.
     """
     # Two columns of the same text in every record: the record's key and the text's id.
-    rows = df.select(*[F.col(c) for c in record], F.col(text).alias("text")).where(F.length("text") >= min_len).distinct().withColumn("text_id", F.xxhash64("text"))
+    keys = [f"_r{i}" for i in range(len(record))]  # record columns may be named like ours
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(record, keys, strict=True)], F.col(text).alias("text")).where(F.length("text") >= min_len).distinct().withColumn("text_id", F.xxhash64("text"))
     # Copies of a text are compared once.
     texts = rows.groupBy("text_id", "text").agg((F.count("*") > 1).cast("int").alias("many"))
 
@@ -192,7 +193,8 @@ def shared_spans(df: DataFrame, record: list[str], text: str, min_len: int = MIN
     longest = found.groupBy("text_id", "start").agg(F.max("end").alias("end"))
     island = longest.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = island.groupBy("text_id", "island").agg(F.min("start").cast("int").alias("span_start"), F.max("end").cast("int").alias("span_end"))
-    return rows.select(*record, "text_id", F.length("text").alias("text_length")).join(spans, "text_id").select(*record, "text_length", "span_start", "span_end")
+    named = [F.col(k).alias(c) for c, k in zip(record, keys, strict=True)]
+    return rows.select(*keys, "text_id", F.length("text").alias("text_length")).join(spans, "text_id").select(*named, "text_length", "span_start", "span_end")
 
 
 def shared_parts(spans: DataFrame, record: list[str]) -> DataFrame:
