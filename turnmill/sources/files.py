@@ -26,11 +26,12 @@ def read_segments(spark: SparkSession, paths: str | list[str]) -> tuple[DataFram
     number; the others go on. Columns are matched by the header, whatever their order; the
     speaker column may be missing.
     """
-    raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.trim(F.split(F.regexp_replace("value", r"^\x{FEFF}", ""), r"\r?\n", 2)[0]).alias("header"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"), "value")
+    raw = lines.groupBy("file").agg(F.trim(F.regexp_replace(F.min_by("value", "at"), r"^\x{FEFF}", "")).alias("header"))
     names = F.transform(F.split(F.col("header"), ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
     missing = F.array_except(F.array(*map(F.lit, REQUIRED)), names)
     heads = raw.withColumn("names", names).withColumn("missing", missing)
-    layouts = [r["names"] for r in heads.where(F.size("missing") == 0).select("names").distinct().limit(100).collect()]
+    layouts = [r["names"] for r in heads.where(F.size("missing") == 0).select("names").distinct().collect()]
     parts = []
     for layout in layouts:
         files = [r["file"] for r in heads.where((F.size("missing") == 0) & (F.array_join("names", ",") == ",".join(layout))).select("file").collect()]
@@ -57,7 +58,7 @@ def read_segments(spark: SparkSession, paths: str | list[str]) -> tuple[DataFram
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(title, body)`` of whole text files, the title from the file's stem."""
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    return spark.read.option("wholetext", True).text(path).select(title_of_file(stem).alias("title"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=True).select(title_of_file(stem).alias("title"), F.col("value").alias("body"))
 
 
 def payload(body: Column) -> Column:
