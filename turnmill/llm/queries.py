@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnmill.llm import oracles
 from turnmill.llm.leaks import leaked_passages
 from turnmill.llm.packing import pack
 from turnmill.llm.pairs import pair_defects
@@ -102,4 +103,4 @@ QUERIES = {
     "p8_pieces": p8_pieces,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
