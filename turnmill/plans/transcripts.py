@@ -78,6 +78,27 @@ def timing_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def timing_by_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each window with a start: the cue within half a minute whose ten following cues agree
+    best, word by word, with the window's first twenty words, and by how many seconds it is off.
+    Ties go to the earlier cue; agreement below a fifth is no match."""
+    w = records(spark, folder, "chunks", "chunk_id", "video_id", "cue_start", "text").where("cue_start is not null")
+    first = F.slice(X.words(F.lower("text")), 1, 20)
+    ten = following(_cues(spark, folder), "video_id", T.ORDER, time_shard("cue_start"), 10, F.coalesce("text", F.lit("")), "ten")
+    ten = ten.select("video_id", "segment_id", "cue_start", "cue_end", F.slice(X.words(F.lower("ten")), 1, 20).alias("heard"))
+    near = T.cues_in_windows(w.select("chunk_id", "video_id", (F.col("cue_start") - 30).alias("cue_start"), (F.col("cue_start") + 30).alias("cue_end")), ten, slack=0.0)
+    own = w.select("chunk_id", F.col("cue_start").alias("at"), first.alias("said"))
+    agree = F.size(F.filter(F.zip_with("said", "heard", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+    scored = near.join(own, "chunk_id").withColumn("agreement", F.round(F.try_divide(agree, F.size("said")), 6)).where("agreement >= 0.2")
+    best = scored.groupBy("chunk_id").agg(F.max(F.struct("agreement", (-F.col("cue_start")).alias("c"), (-F.col("segment_id")).alias("s"), F.round(F.col("cue_start") - F.col("at"), 3).alias("off"))).alias("b"))
+    return best.select("chunk_id", (-F.col("b.s")).alias("segment_id"), "b.agreement", "b.off")
+
+
+def chunk_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Five chunks at random, the same ones for the same table."""
+    return records(spark, folder, "fixed_chunks", "id", "title", "text").orderBy(F.xxhash64("id"), "id").limit(5).select("id", "title", X.preview(F.col("text"), 200).alias("preview"))
+
+
 def time_stamps(spark: SparkSession, folder: str) -> DataFrame:
     w = records(spark, folder, "chunks", "chunk_id", "cue_start").where("cue_start is not null")
     c = F.col("cue_start")
@@ -91,7 +112,7 @@ def file_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    segment_offsets, char_to_time, speaker_runs, transcript_text, rendered_with_stamps, rendered_plain, cue_window_concat, chunk_cues, timing_summary, time_stamps, file_names,
+    segment_offsets, char_to_time, speaker_runs, transcript_text, rendered_with_stamps, rendered_plain, cue_window_concat, chunk_cues, timing_summary, timing_by_words, chunk_sample, time_stamps, file_names,
 )}
 
 _S = "WITH s AS (SELECT DISTINCT segment_id, video_id, title, text, cue_start, cue_end, vimeo_generated_speaker AS speaker FROM segments),\n"
@@ -131,6 +152,14 @@ SELECT segment_id, md5(five) AS five, CAST(length(five) AS INT) AS length FROM x
     "timing_summary": _OFF + """
 SELECT count(*) AS windows, count(*) FILTER (abs(start_off) < 1 AND abs(end_off) < 1) AS accurate, round(avg(start_off), 6) AS mean, round(median(start_off), 6) AS median, round(stddev_pop(start_off), 6) AS std,
        min(start_off) AS least, max(start_off) AS most, stddev_pop(start_off) < 5 AS consistent FROM k
+""",
+    "timing_by_words": _S + f"""
+t AS (SELECT video_id, segment_id, cue_start, cue_end, list_slice(list_filter(string_split(trim(regexp_replace(lower(array_to_string(list(coalesce(text, '')) {_W} ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING), ' ')), '\\s+', ' ', 'g')), ' '), lambda x: x <> ''), 1, 20) AS heard FROM s),
+w AS (SELECT DISTINCT chunk_id, video_id, cue_start AS began, list_slice(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda x: x <> ''), 1, 20) AS said FROM chunks WHERE cue_start IS NOT NULL),
+j AS (SELECT chunk_id, segment_id, cue_start, round(cue_start - began, 3) AS off, round(len(list_filter(range(1, len(said) + 1), lambda i: said[i] = heard[i])) / nullif(len(said), 0), 6) AS agreement
+      FROM w JOIN t ON t.video_id = w.video_id AND t.cue_start >= began - 30 AND t.cue_end <= began + 30 AND t.cue_start <= began + 30),
+k AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY agreement DESC, cue_start, segment_id) AS n FROM j WHERE agreement >= 0.2)
+SELECT chunk_id, segment_id, agreement, off FROM k WHERE n = 1
 """,
     "time_stamps": r"""
 WITH c AS (SELECT DISTINCT chunk_id, CAST(floor(cue_start) AS BIGINT) AS s FROM chunks WHERE cue_start IS NOT NULL)
