@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.text import first_words, matchable, normalized, normalized_title, one_spaced, words
+from turnmill.session import cut
 
 KEY = 5  # words of a search key
 
@@ -31,7 +32,8 @@ def located(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFrame, t
     inner = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))
     own = own.withColumn("_i", F.when(F.size("_w") >= KEY + 2, inner).otherwise(F.col("_w"))).withColumn("_key", F.explode(F.array_distinct(_keys(F.col("_i")))))
     posting = t.select("_text").distinct().select(F.xxhash64("_text").alias("_t"), words(F.col("_text")).alias("_i")).select("_t", F.explode(F.array_distinct(_keys(F.col("_i")))).alias("_key"))
-    wanted = posting.select("_key", "_t").join(own.select("_key").distinct(), "_key", "left_semi")
+    # Only the runs that some phrase asks for; counted first and joined after, so written once.
+    wanted = cut(posting.select("_key", "_t").join(own.select("_key").distinct(), "_key", "left_semi"))
     frequency = wanted.groupBy("_key").agg(F.count("*").alias("_df"))
     rarest = own.join(frequency, "_key").groupBy("_phrase").agg(F.min(F.struct("_df", "_key")).alias("_m"), F.count("*").alias("_known"), F.max(F.size("_w")).alias("_n"))
     hits = rarest.select("_phrase", "_n", F.col("_m._key").alias("_key")).join(wanted, "_key").join(t.select("_text").distinct().withColumn("_t", F.xxhash64("_text")), "_t")
@@ -76,21 +78,27 @@ def resolved_titles(typed: DataFrame, value: str, listed: DataFrame, key: str, t
     return best.select("value", "_best.title_id", how.alias("how"))
 
 
-def search_phrases(quote: Column) -> Column:
-    """What to look for of a quote, in order: ``(grade, phrase)`` with the grade of a find.
-
-    The quote is cut at dots that leave something out; of each part of five words or more its
-    opening ten, fifteen and twenty words, then whole parts of 20 to 200 letters, then fifteen
-    words from the middle of long parts. A find of up to twenty letters does not count.
-    """
+def quote_parts(quote: Column) -> Column:
+    """The parts of a quote between dots that leave something out, of five words or more, each as
+    ``(p, w)``: lower-case text and words."""
     text = matchable(quote)
     text = F.when(F.startswith(text, F.lit("…")) | F.startswith(text, F.lit("...")), one_spaced(F.regexp_replace(text, r"^(?:…|\.\.\.)", ""))).otherwise(text)
-    parts = F.filter(F.transform(F.split(text, r"\.{3,}|…"), lambda p: F.lower(one_spaced(p))), lambda p: F.size(words(p)) >= 5)
+    parts = F.transform(F.split(F.lower(text), r"\.{3,}|…"), one_spaced)
+    return F.filter(F.transform(parts, lambda p: F.struct(p.alias("p"), words(p).alias("w"))), lambda x: F.size(x["w"]) >= 5)
+
+
+def search_phrases(parts: Column) -> Column:
+    """What to look for of :func:`quote_parts`, in order: ``(grade, phrase)`` with the grade of a find.
+
+    Of each part its opening ten, fifteen and twenty words, then whole parts of 20 to 200
+    letters, then fifteen words from the middle of long parts. A find of up to twenty letters
+    does not count. Give a column of its own, since it is read three times.
+    """
     grade = lambda p, name: F.struct(F.when((F.length(p) > 50) & F.lit(name in ("first_20_words", "clean_chunk")), F.lit("high")).otherwise(F.lit("medium")).alias("grade"), p.alias("phrase"))
-    first = lambda p, n: F.when(F.size(words(p)) >= n, grade(F.array_join(F.slice(words(p), 1, n), " "), f"first_{n}_words"))
-    middle = lambda p: F.when(F.size(words(p)) >= 20, grade(F.array_join(F.slice(words(p), F.floor(F.size(words(p)) / 4).cast("int") + 1, 15), " "), "middle_portion"))
-    whole = lambda p: F.when(F.length(p).between(20, 200), grade(p, "clean_chunk"))
-    all_ = F.concat(F.flatten(F.transform(parts, lambda p: F.array(first(p, 10), first(p, 15), first(p, 20)))), F.transform(parts, whole), F.transform(parts, middle))
+    first = lambda x, n: F.when(F.size(x["w"]) >= n, grade(F.array_join(F.slice(x["w"], 1, n), " "), f"first_{n}_words"))
+    middle = lambda x: F.when(F.size(x["w"]) >= 20, grade(F.array_join(F.slice(x["w"], F.floor(F.size(x["w"]) / 4).cast("int") + 1, 15), " "), "middle_portion"))
+    whole = lambda x: F.when(F.length(x["p"]).between(20, 200), grade(x["p"], "clean_chunk"))
+    all_ = F.concat(F.flatten(F.transform(parts, lambda x: F.array(first(x, 10), first(x, 15), first(x, 20)))), F.transform(parts, whole), F.transform(parts, middle))
     return F.filter(all_, lambda x: x.isNotNull() & (F.length(x["phrase"]) > 20))
 
 
@@ -102,24 +110,29 @@ def graded_quotes(quotes: DataFrame, quote_id: str, quote: str, texts: DataFrame
     the same text (medium); for short ones, any five words in a row (medium); a literal in
     quotation marks (low). Null quotes, and quotes too short to locate, are ``not_found``.
     """
-    q = quotes.select(F.col(quote_id).alias("quote_id"), F.col(quote).alias("_raw"), F.lower(matchable(F.col(quote))).alias("_q"))
+    q = quotes.select(F.col(quote_id).alias("quote_id"), F.lower(matchable(F.col(quote))).alias("_q"), quote_parts(F.col(quote)).alias("_parts"))
     t = texts.select(F.lower(matchable(F.col(text))).alias("t")).where("t is not null").distinct().withColumn("tid", F.xxhash64("t"))
     plain = one_spaced(F.regexp_replace("_q", r"\.{3,}|…", ""))
     n = F.length("_q")
     item = lambda tier, p, g, of=1: F.struct(F.lit(tier).alias("tier"), p.alias("phrase"), g.alias("grade"), F.lit(of).cast("int").alias("of") if isinstance(of, int) else of.cast("int").alias("of"))
     many = lambda tier, ps, g: F.transform(ps, lambda p: item(tier, p, F.lit(g)))
-    sentences = F.transform(F.filter(F.transform(F.split("_q", r"\."), one_spaced), lambda s: F.length(s) > 10), lambda s: one_spaced(F.regexp_replace(s, r"…", "")))
-    fives = F.transform(F.sequence(F.lit(1), F.size(words(F.col("_q"))) - 4), lambda i: F.array_join(F.slice(words(F.col("_q")), i, 5), " "))
+    # Columns of their own: what is used in several tiers is worked out once.
+    wide = q.where("_q is not null and _q <> ''").withColumn("_w", words(F.col("_q"))).withColumn(
+        "_sentences", F.transform(F.filter(F.transform(F.split("_q", r"\."), one_spaced), lambda s: F.length(s) > 10), lambda s: one_spaced(F.regexp_replace(s, r"…", "")))
+    )
+    sentences = F.col("_sentences")
+    in_rows = F.arrays_zip(*[F.slice("_w", i + 1, F.greatest(F.size("_w") - 4, F.lit(0))).alias(f"w{i}") for i in range(5)])
+    fives = F.transform(in_rows, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(5)]))
     none = F.array().cast("array<struct<tier:int,phrase:string,grade:string,of:int>>")
     tiers = F.concat(
         F.array(item(1, F.col("_q"), F.lit("high"))),
         F.when(F.length(plain) > 20, F.array(item(2, plain, F.lit("high")))).otherwise(none),
-        F.transform(search_phrases(F.col("_raw")), lambda x, i: F.struct(F.lit(3).alias("tier"), x["phrase"].alias("phrase"), x["grade"].alias("grade"), (i + 1).cast("int").alias("of"))),
+        F.transform(search_phrases(F.col("_parts")), lambda x, i: F.struct(F.lit(3).alias("tier"), x["phrase"].alias("phrase"), x["grade"].alias("grade"), (i + 1).cast("int").alias("of"))),
         F.when(n > 100, F.transform(sentences, lambda s: item(4, s, F.lit("medium"), F.size(sentences)))).otherwise(none),
-        F.when(n.between(20, 100) & (F.size(words(F.col("_q"))) >= 5), F.filter(many(5, fives, "medium"), lambda x: ~x["phrase"].contains("..."))).otherwise(none),
+        F.when(n.between(20, 100) & (F.size("_w") >= 5), F.filter(many(5, fives, "medium"), lambda x: ~x["phrase"].contains("..."))).otherwise(none),
         many(6, F.regexp_extract_all("_q", F.lit(r'("[^"]{10,}")'), 1), "low"),
     )
-    wanted = q.where("_q is not null and _q <> ''").select("quote_id", F.posexplode(tiers).alias("at", "p")).select("quote_id", "at", "p.*")
+    wanted = cut(wide.select("quote_id", F.posexplode(tiers).alias("at", "p")).select("quote_id", "at", "p.*"))
     phrases = wanted.select("phrase").distinct()
     hits = located(phrases, "phrase", "phrase", t, "tid", "t").toDF("phrase", "tid")
     whole = wanted.where("tier <> 4").join(hits.select("phrase").distinct(), "phrase").select("quote_id", "tier", "at", "grade")
