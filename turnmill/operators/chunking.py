@@ -22,23 +22,28 @@ BLOCK = 100_000
 SEPARATOR = r"[.!?]\s"
 
 
-def sentence_starts(cues: DataFrame, separator: str = SEPARATOR) -> DataFrame:
+def separator_places(text: Column, separator: str = SEPARATOR) -> Column:
+    """Where separators begin in a cue's text and the space after it; a separator never reaches
+    beyond that space, so every cue finds its own."""
+    text = F.concat(F.coalesce(text, F.lit("")), F.lit(" "))
+    parts = F.split(text, f"(?={separator})")
+    ends = F.aggregate(parts, F.array().cast("array<int>"), lambda at, p: F.concat(at, F.array(F.coalesce(F.try_element_at(at, F.lit(-1)), F.lit(0)) + F.length(p))))
+    none = F.array().cast("array<int>")
+    return F.concat(F.when(text.rlike(f"^{separator}"), F.array(F.lit(0))).otherwise(none), F.when(F.size(parts) > 1, F.slice(ends, 1, F.size(parts) - 1)).otherwise(none))
+
+
+def sentence_starts(cues: DataFrame) -> DataFrame:
     """``(video_id, b, end)`` of the pieces of each video's text; a separator begins its piece.
 
-    ``cues`` are :func:`with_offsets`. A separator never reaches beyond the space after a cue, so
-    every cue finds its own.
+    ``cues`` are ``(video_id, start_char, row_no, letters, places)``, numbers only.
     """
-    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "))
-    parts = F.split(text, f"(?={separator})")
-    at = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, p: n + F.length(p)))
-    at = F.concat(F.when(F.size(parts) > 1, at).otherwise(F.array().cast("array<int>")), F.when(text.rlike(f"^{separator}"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-    at = F.when(F.col("row_no") == 1, F.array_union(at, F.array(F.lit(0)))).otherwise(at)
+    at = F.when(F.col("row_no") == 1, F.array_union("places", F.array(F.lit(0)))).otherwise(F.col("places"))
     b = cues.select("video_id", "start_char", F.explode(at).alias("i")).select("video_id", (F.col("start_char") + F.col("i")).alias("b"))
     shard = F.floor(F.col("b") / BLOCK)
     local = Window.partitionBy("video_id", "s").orderBy("b")
     b = b.withColumn("s", shard).withColumn("end", F.lead("b").over(local))
     heads = b.groupBy("video_id", "s").agg(F.min("b").alias("head"))
-    total = cues.groupBy("video_id").agg(F.max(F.col("start_char") + F.coalesce(F.length("text"), F.lit(0)) + 1).alias("total"))
+    total = cues.groupBy("video_id").agg(F.max(F.col("start_char") + F.col("letters") + 1).alias("total"))
     heads = heads.join(total, "video_id").select("video_id", "s", F.coalesce(F.lead("head").over(Window.partitionBy("video_id").orderBy("s")), F.col("total")).alias("head"))
     return b.join(heads, ["video_id", "s"]).select("video_id", "b", F.coalesce("end", "head").alias("end"))
 
@@ -131,8 +136,12 @@ def fixed_size_chunks(cues: DataFrame, size: int = 3000, overlap: int = 1500, se
     letters of the cue at either end and rounded to the millisecond. Null texts count as empty;
     videos without any letters give nothing.
     """
-    placed = with_offsets(cues.withColumn("text", trimmed(F.coalesce("text", F.lit(""))))).select("video_id", "segment_id", "title", "text", "cue_start", "cue_end", "start_char", "row_no")
-    ranges = cut(chunk_ranges(sentence_starts(placed, separator), size, overlap, block))
+    cues = cues.select("video_id", "segment_id", "title", trimmed(F.coalesce("text", F.lit(""))).alias("text"), "cue_start", "cue_end")
+    # Only numbers are sorted and summed; the texts travel once, at the end.
+    numbers = cues.select("video_id", "segment_id", "cue_start", F.length("text").alias("letters"), separator_places(F.col("text"), separator).alias("places"))
+    numbers = cut(with_offsets(numbers, F.col("letters")))
+    ranges = cut(chunk_ranges(sentence_starts(numbers), size, overlap, block))
+    placed = cues.join(numbers.select("video_id", "segment_id", "start_char"), ["video_id", "segment_id"])
     step = 1000
     spans = ranges.withColumn("q", F.explode(F.sequence(F.floor(F.col("b") / step), F.floor((F.col("e") - 1) / step))))
     last = F.col("start_char") + F.length("text")

@@ -11,10 +11,11 @@ from turnmill.operators.ordered import running, time_shard
 ORDER = ["cue_start", "segment_id"]
 
 
-def with_offsets(cues: DataFrame) -> DataFrame:
+def with_offsets(cues: DataFrame, letters: Column | None = None) -> DataFrame:
     """Adds ``start_char``, where a cue's text begins in its video's text (each cue is followed
-    by one space), and ``row_no`` from 1. A null text has no letters but its space."""
-    length = F.coalesce(F.length("text"), F.lit(0)) + 1
+    by one space), and ``row_no`` from 1. A null text has no letters but its space. ``letters``
+    may give the lengths, so that the texts need not travel."""
+    length = F.coalesce(F.length("text") if letters is None else letters, F.lit(0)) + 1
     x = running(cues, "video_id", ORDER, time_shard("cue_start"), start_char=length, row_no=F.lit(1))
     return x.withColumn("row_no", F.col("row_no") + 1)
 
