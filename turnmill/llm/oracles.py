@@ -11,6 +11,13 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY record_kind, record_id ORDER BY p)
 SELECT record_kind, record_id, CAST(min(p) AS INT) AS span_start, CAST(max(p) + 120 AS INT) AS span_end FROM g GROUP BY record_kind, record_id, island
 """
 
+P4_SHARED_PART = f"""
+WITH f AS ({P4_FOUND}),
+t AS (SELECT DISTINCT 'quote' AS record_kind, quote_id AS record_id, length(quoted_text) AS n FROM insight_quotes UNION SELECT DISTINCT 'chunk', id, length(text) FROM fixed_chunks)
+SELECT f.record_kind, f.record_id, CAST(n AS INT) AS text_length, CAST(sum(span_end - span_start) AS BIGINT) AS shared_length, round(sum(span_end - span_start) / n, 6) AS shared_part
+FROM f JOIN t ON t.record_kind = f.record_kind AND t.record_id = f.record_id GROUP BY f.record_kind, f.record_id, n
+"""
+
 _NOTES = r"[\(\[<]?\b\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?\b[\)\]>]?|\(\([^()]*\)\)|\([^()\d]*\)|\[[^\[\]\d]*\]|<[^<>\d]*>|\*[^*\d]+\*|♪[^♪]*♪|♪+"
 _LABEL = r"(?i)^(?:>>|-)?\s*(?:\[\s*(?:speaker|spk|s)[ _#-]*(\d+)(?:\.0+)?\s*\]\s*:?|(?:speaker|spk|s)[ _#-]*(\d+)(?:\.0+)?\s*(?::|\s-\s))"
 P5_FOUND = rf"""
@@ -32,4 +39,4 @@ y AS (SELECT k, string_agg(word, ' ') OVER w AS run, count(*) OVER w AS n FROM e
 SELECT DISTINCT x.k AS doc_id, y.k AS item_id FROM x JOIN y ON x.run = y.run WHERE x.n = 13 AND y.n = 13
 """
 
-SQL = {"p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
+SQL = {"p4_found": P4_FOUND, "p4_shared_part": P4_SHARED_PART, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
