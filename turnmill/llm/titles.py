@@ -22,15 +22,16 @@ FIGURES_AS_LETTERS = ("01", "ol")
 # What typing and exporting put around a title.
 AFFIXES = [
     r"^(?:re|fwd?)\s*[:–—-]\s*",
-    r"^transcript of\s+",
+    r"^(?:transcript[ _-]+)+of[ _-]+",
     r"^transcript[ _-]+\d+[ _:–—-]+\s*",
     r"(?:\.(?:md|mp4|mp3|txt|csv|json|docx?|pdf)|\s*[-–—_]\s*recording|[ _-]*\(?\breplay\)?|\s*(?:…|\.{2,}))$",
 ]
 
 #: Share of a typed value's triples that an entry must hold: to be looked at, and to be sure.
 LOOK, SURE = 0.45, 0.7
-#: Share of the letters that stand in words of the entry, needed between the two.
-WORDS = 0.6
+#: Share of the letters that stand in words of the entry, and Jaccard similarity to one of its
+#: forms, needed between the two.
+WORDS, ALIKE = 0.6, 0.2
 
 
 @F.pandas_udf(T.StringType())
@@ -88,6 +89,7 @@ def _list_side(listed: DataFrame, key: str, value: str) -> DataFrame:
         "_value",
         squeezed(F.when(F.col("_in_series"), F.col("_series"))).alias("_series"),
         triples(squeezed(rest)).alias("_core"),
+        triples(squeezed(F.col("_plain"))).alias("_entire"),
         F.array_distinct(F.array(*[F.array_sort(triples(squeezed(f))) for f in forms])).alias("_forms"),
         word_list(F.translate(F.col("_plain"), *FIGURES_AS_LETTERS)).alias("_words"),
     )
@@ -101,7 +103,7 @@ def best_titles(typed: DataFrame, value: str, listed: DataFrame, key: str, title
     done once a different value, however many rows hold it; extra columns are ignored.
     """
     entries = _list_side(listed, key, title)
-    values = typed.select(F.col(value).alias("value")).where(F.col("value").rlike(r"(?U)[^\s\p{Cf}]")).distinct()
+    values = typed.select(F.col(value).alias("value")).where(F.col("value").rlike(r"(?U)\S")).distinct()
     values = values.join(entries.select(F.col("_value").alias("value")), "value", "left_anti")
     values = values.withColumn("_bare", without_affixes(folded("value"))).withColumn("_full", squeezed(F.col("_bare")))
 
@@ -114,11 +116,13 @@ def best_titles(typed: DataFrame, value: str, listed: DataFrame, key: str, title
         "value",
         "_bare",
         triples(F.col("_full")).alias("_tokens"),
+        F.col("_opens").isNotNull().alias("_without"),
+        F.expr("substring(_full, 1, _opens)").alias("_opened"),
         triples(F.expr("substring(_full, coalesce(_opens, 0) + 1)")).alias("_core"),
     ).withColumn("_need", F.ceil(F.size("_core") * LOOK))
 
     # Rarity in the list; a triple that no entry has comes first and joins nothing.
-    posting = entries.select("title_id", F.size("_core").alias("_size"), F.explode("_core").alias("_t"))
+    posting = entries.select("title_id", F.size("_entire").alias("_size"), F.explode("_entire").alias("_t"))
     rarity = posting.groupBy("_t").agg(F.count("*").alias("_df"))
     ranked = (
         values.select("value", "_need", F.size("_core").alias("_len"), F.explode("_core").alias("_t"))
@@ -135,7 +139,10 @@ def best_titles(typed: DataFrame, value: str, listed: DataFrame, key: str, title
         .where("_hits + _len - (_len - _need + 1) >= _need")
     )
     near = pairs.select("value", "title_id").join(values, "value").join(entries.withColumnRenamed("_core", "_entry"), "title_id")
-    near = near.withColumn("_held", F.size(F.array_intersect("_core", "_entry")) / F.size("_core")).where(F.col("_held") >= LOOK)
+    # What was typed with a series means an entry of it, and is held against the rest of that.
+    near = near.where(~F.col("_without") | F.col("_opened").eqNullSafe(F.col("_series")))
+    held = F.size(F.array_intersect("_core", F.when(F.col("_without"), F.col("_entry")).otherwise(F.col("_entire"))))
+    near = near.withColumn("_held", held / F.size("_core")).where(F.col("_held") >= LOOK)
     jaccard = F.transform("_forms", lambda f: F.size(F.array_intersect("_tokens", f)) / F.size(F.array_union("_tokens", f)))
     # Letters of the typed words that are, but for slips, words of the entry or their beginnings.
     typed_words = word_list(F.translate(F.col("_bare"), *FIGURES_AS_LETTERS))
@@ -145,6 +152,7 @@ def best_titles(typed: DataFrame, value: str, listed: DataFrame, key: str, title
     found = F.filter(F.col("_typed"), lambda x: F.exists("_words", lambda w: meant(x, w)))
     letters = lambda ws: F.aggregate(ws, F.lit(0), lambda n, w: n + F.length(w))
     scored = near.withColumn("_typed", typed_words).withColumn("_score", F.col("_held") + F.array_max(jaccard))
-    sure = scored.where((F.col("_held") >= SURE) | (F.try_divide(letters(found), letters(F.col("_typed"))) >= WORDS))
+    words_agree = (F.try_divide(letters(found), letters(F.col("_typed"))) >= WORDS) & (F.col("_score") - F.col("_held") >= ALIKE)
+    sure = scored.where((F.col("_held") >= SURE) | words_agree)
     best = sure.groupBy("value").agg(F.max(F.struct("_score", (-F.col("title_id")).alias("_id"))).alias("_best"))
     return values.select("value").join(best, "value", "left").select("value", F.coalesce(-F.col("_best._id"), F.lit(0).cast("long")).alias("title_id"))
