@@ -1,4 +1,7 @@
+import random
+
 from turnmill.operators import groundtruth as G
+from turnmill.plans.groundtruth import word_overlap_80
 
 TEXT = "The host told the clerk to sign the form early. It took nine weeks to file the annex, and the board still had doubts. Nobody at Zanlix had read the minutes before the vote was called."
 CASES = {
@@ -50,3 +53,27 @@ def test_chunks_of_quotes(spark):
     q = spark.createDataFrame([(1, "told the clerk to sign the form early. And more", "My Title: A"), (2, "told the clerk to sign the form early. And more", "Else"), (3, "", "My Title A"), (4, None, None)], "quote_id long, quoted_text string, transcript_title string")
     c = spark.createDataFrame([(7, "He told the clerk to sign the form early. And mores", "my title a (B)"), (8, TEXT, "Else"), (9, "x", None)], "id long, text string, title string")
     assert [tuple(x) for x in G.chunks_of_quotes(q, c).collect()] == [(1, 7)]
+
+
+def overlaps(q, c):
+    """By brute force, of ids with texts."""
+    sets = lambda x: {i: set((t or "").lower().split()) for i, t in x}
+    return {(i, j, (2000 * len(a & b) // len(a) + 1) // 2 / 10) for i, a in sets(q).items() for j, b in sets(c).items() if a and len(a & b) / len(a) >= 0.7995}
+
+
+def test_word_overlaps_against_brute_force(spark):
+    """Words in any order, altered every few words, repeated, few or unknown ones."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    c = [(i, " ".join(r.choices(vocabulary, k=r.randint(1, 45)))) for i in range(80)] + [(80, None), (81, " ")]
+    q = [(i, " ".join(r.choices([*vocabulary, "none"], k=r.randint(1, 12)))) for i in range(120)]
+    q += [(200 + i, " ".join("x" if k % 6 == 5 else w for k, w in enumerate(t.split()))) for i, (_, t) in enumerate(c[:80])] + [(400, None), (401, "")]
+    got = G.word_overlaps(spark.createDataFrame(q, "q long, p string"), "q", "p", spark.createDataFrame(c, "c long, t string"), "c", "t", letters=1500).collect()
+    want = overlaps(q, c)
+    assert len(got) == len(want) > 100 and {tuple(x) for x in got} == want
+
+
+def test_word_overlap_of_an_altered_and_a_short_quote(spark, tmp_path):
+    spark.createDataFrame([(1, "i", "He told the clerk X to sign the X form early. It took X nine", "t"), (2, "i", "sign the form", "t")], "quote_id long, insight_id string, quoted_text string, transcript_title string").write.parquet(f"{tmp_path}/insight_quotes.parquet")
+    spark.createDataFrame([(7, "And he told the clerk to sign the form early. It took nine weeks", "t"), (8, "sign here", "t")], "id long, text string, title string").write.parquet(f"{tmp_path}/fixed_chunks.parquet")
+    assert sorted(map(tuple, word_overlap_80(spark, str(tmp_path)).collect())) == [(1, 7, 91.7), (2, 7, 100.0)]

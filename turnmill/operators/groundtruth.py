@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,46 @@ def located(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFrame, t
     return p.join(hits, "_phrase").join(t, "_text").select(F.col("_pid").alias("phrase_id"), F.col("_tid").alias("text_id")).distinct()
 
 
+def word_overlaps(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFrame, text_id: str, text: str, least: int = 80, letters: int = 2_000_000) -> DataFrame:
+    """``(phrase_id, text_id, overlap)``: the share of a phrase's different words that the text has
+    too, in hundredths to one place, where it is at least ``least``.
+
+    Exact. Sets of words meet in blocks of about ``letters``, each set once. In a pair of blocks
+    a phrase of n words that has to share m of them asks for its n - m + 1 rarest only, words
+    that the block lacks first: a text without any of these cannot share m. The words of the
+    texts left are then counted.
+    """
+    sets = lambda c: F.array_join(F.array_sort(F.array_distinct(words(normalized(F.col(c))))), " ")
+    p, t = phrases.select(F.col(phrase_id).alias("phrase_id"), sets(phrase).alias("_p")).where("_p <> ''"), texts.select(F.col(text_id).alias("text_id"), sets(text).alias("_t")).where("_t <> ''")
+
+    def packed(df: DataFrame, c: str) -> DataFrame:
+        once = df.select(c).distinct()
+        n = max(1, -(-(once.agg(F.sum(F.length(c))).first()[0] or 0) // letters))
+        return once.groupBy(F.pmod(F.xxhash64(c), F.lit(n)).alias(f"{c}_block")).agg(F.collect_list(c).alias(c))
+
+    def shared(pair: pd.DataFrame) -> pd.DataFrame:
+        ps, ts = pair["_p"].iloc[0], pair["_t"].iloc[0]
+        has: dict[str, list[int]] = {}
+        for i, x in enumerate(ts):
+            for w in x.split(" "):
+                has.setdefault(w, []).append(i)
+        holders, none, found = {w: np.asarray(i, np.int32) for w, i in has.items()}, np.zeros(0, np.int32), []
+        for x in ps:
+            own = sorted((holders.get(w, none) for w in x.split(" ")), key=len)
+            need = -(-len(own) * (20 * least - 1) // 2000)  # the share is rounded to one place
+            rare = np.bincount(np.concatenate(own[: len(own) - need + 1]), minlength=len(ts))
+            if rare.any():
+                all_ = rare + np.bincount(np.concatenate([none, *own[len(own) - need + 1 :]]), minlength=len(ts))
+                found += [(x, ts[i]) for i in np.flatnonzero((rare > 0) & (all_ >= need))]
+        return pd.DataFrame(found, columns=["_p", "_t"])
+
+    # A pair of blocks is a group of one row.
+    x = packed(p, "_p").crossJoin(packed(t, "_t")).groupBy("_p_block", "_t_block").applyInPandas(shared, "_p string, _t string")
+    share = F.size(F.array_intersect(F.split("_p", " "), F.split("_t", " "))) / F.size(F.split("_p", " "))
+    x = x.withColumn("overlap", F.round(100 * share, 1)).where(F.col("overlap") >= least)
+    return x.join(p, "_p").join(t, "_t").select("phrase_id", "text_id", "overlap").distinct()
+
+
 def same_title(a: Column, b: Column) -> Column:
     """Either normalized title contains the other; never for null or blank ones."""
     a, b = normalized_title(a), normalized_title(b)

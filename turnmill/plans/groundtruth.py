@@ -78,16 +78,9 @@ def questions_verified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def word_overlap_80(spark: SparkSession, folder: str) -> DataFrame:
-    """Quote and chunk where at least four fifths of the quote's different words are in the
-    chunk, among the pairs that share the rarest run of five words of some stretch of the quote."""
-    q = _quotes(spark, folder).select("quote_id", words(normalized(F.col("quoted_text"))).alias("w")).where(F.size("w") >= 7)
-    c = _chunks(spark, folder).select("id", normalized(F.col("text")).alias("t"))
-    n = F.size("w")
-    part = q.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(n - 6, F.lit(1)), F.lit(7)))).select("quote_id", F.array_join(F.slice("w", F.col("i"), F.lit(7)), " ").alias("p"))
-    pairs = G.located(part, "quote_id", "p", c, "id", "t").toDF("quote_id", "id")
-    x = pairs.join(q, "quote_id").join(c.select("id", words(F.col("t")).alias("cw")), "id")
-    share = F.size(F.array_intersect("w", "cw")) / F.size(F.array_distinct("w"))
-    return x.select("quote_id", "id", F.round(100 * share, 1).alias("overlap")).where("overlap >= 80")
+    """Quote and chunk where at least four fifths of the quote's different words are in the chunk."""
+    return G.word_overlaps(_quotes(spark, folder), "quote_id", "quoted_text", _chunks(spark, folder), "id", "text").toDF("quote_id", "id", "overlap")
+
 
 
 QUERIES = {f.__name__: f for f in (
