@@ -42,6 +42,23 @@ def test_located_against_contains(spark, small):
     assert got == {(i, j) for i, x in enumerate(phrases) for j, y in enumerate(c) if len(x.split()) >= 7 and x in y}
 
 
+def test_located_of_any_length(spark):
+    """Phrases of one to nine words, cut anywhere, against plain containment."""
+    r = random.Random(9)
+    c = [" ".join(r.choices(["a", "the", "room.", "rooms", "form", "(x)", "été", "unforeseen", "one,two"], k=r.randint(1, 25))) for _ in range(60)]
+    phrases = sorted({x for t in c for n in (1, 2, 4, 7, 9, 13, 18, 24, 30) for i in [r.randrange(len(t))] if (x := t[i : i + n].strip())} | {"for the", "none", "he a", "m. r"})
+    got = G.located(spark.createDataFrame([(x, x) for x in phrases], "i string, p string"), "i", "p", spark.createDataFrame(list(enumerate(c)), "tid long, t string"), "tid", "t").collect()
+    want = {(x, j) for x in phrases for j, y in enumerate(c) if x in y}
+    assert {len(x.split()) for x, _ in want} >= {1, 2, 3, 4, 5, 6} and len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_short_sentences_and_literals_count(spark):
+    text = "we think the board met in may. the clerk then left the room. she signed it twice. he said \"sign here now\" and went"
+    q = {"sentences": "Something nobody has ever said here. The clerk then left the room. She signed it twice. The board met in May. xx", "literal": "zzz yyy \"sign here now\" xxx www"}
+    got = G.graded_quotes(spark.createDataFrame(list(q.items()), "id string, q string"), "id", "q", spark.createDataFrame([(text,)], "text string"), "text").collect()
+    assert {x["quote_id"]: (x["match_type"], x["confidence"]) for x in got} == {"sentences": ("partial", "medium"), "literal": ("partial", "low")}
+
+
 def test_titles(spark):
     listed = spark.createDataFrame([(1, "Scaling Toggles: How to"), (2, "Scaling"), (3, "Other")], "k long, t string")
     typed = spark.createDataFrame([("TRANSCRIPT 2: scaling toggles: how to",), ("Scaling Toggles",), ("none",), ("  ",), (None,)], "v string")

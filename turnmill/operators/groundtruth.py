@@ -10,37 +10,74 @@ from pyspark.sql import functions as F
 from turnmill.functions.text import first_words, matchable, normalized, normalized_title, one_spaced, words
 from turnmill.session import cut
 
-KEY = 5  # words of a search key
+KEY = 5  # words of a search key, at most
+GRAM = 8  # letters by which a single word is looked up in others, at most
 
 
-def _keys(ws: Column) -> Column:
-    """Fingerprints of all runs of :data:`KEY` words of an array that is a column of its own."""
-    n = F.size(ws) - KEY + 1
-    side_by_side = F.arrays_zip(*[F.slice(ws, i + 1, F.greatest(n, F.lit(0))).alias(f"w{i}") for i in range(KEY)])
-    return F.transform(side_by_side, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(KEY)]))
+def _runs(ws: Column, k: int) -> Column:
+    """All runs of ``k`` words of an array that is a column of its own, with fields ``w0`` ..."""
+    n = F.size(ws) - k + 1
+    return F.arrays_zip(*[F.slice(ws, i + 1, F.greatest(n, F.lit(0))).alias(f"w{i}") for i in range(k)])
+
+
+def _keys(ws: Column, k: int = KEY) -> Column:
+    """Fingerprints of :func:`_runs`."""
+    return F.transform(_runs(ws, k), lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(k)]))
+
+
+def _around_space(a: Column, i: int, b: Column, j: int) -> Column:
+    """The last ``i`` letters of a word and the first ``j`` of the next."""
+    return F.concat(F.substring(a, F.greatest(F.length(a) - i + 1, F.lit(1)), F.lit(i)), F.lit(" "), F.substring(b, 1, j))
+
+
+def _units_with(short: DataFrame, texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """``(_phrase, _key)``: for phrases of one or two words the words, or pairs of neighbours, of
+    the texts that contain them, by letters in common."""
+    half, found = GRAM // 2, []
+    for k in sizes:
+        unit = texts.select(F.explode(F.array_distinct(F.transform(_runs(F.col("_i"), k), lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(k)])))).alias("_unit")).distinct()  # noqa: B023
+        ws = [F.element_at(F.split("_unit", " "), i + 1) for i in range(k)]
+        if k == 1:
+            grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("_unit")), lambda i: F.array(*[F.substring(F.col("_unit"), i, F.lit(n)) for n in range(1, GRAM + 1)])))
+            gram = F.substring("_phrase", 1, GRAM)
+        else:
+            grams = F.array(*[_around_space(ws[0], i, ws[1], j) for i in range(1, half + 1) for j in range(1, half + 1)])
+            gram = _around_space(F.col("_w")[0], half, F.col("_w")[1], half)
+        asked = short.where(F.size("_w") == k).select("_phrase", gram.alias("_gram"))
+        unit = unit.select("_unit", F.xxhash64(*ws).alias("_key"), F.explode(F.array_distinct(grams)).alias("_gram"))
+        found.append(unit.join(asked, "_gram").where(F.contains("_unit", "_phrase")).select("_phrase", "_key"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def located(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:
     """``(phrase_id, text_id)`` where the text contains the phrase; both in normal form already.
 
     A text that contains a phrase contains all its inner words in a row, so the phrase looks
-    itself up by its rarest inner run of five words and is then compared exactly. Phrases of five
-    or six words, which have no such run inside, must match in whole words; shorter ones are too
-    little to locate anything and match nothing, as do null ones. Copies of a phrase or a text are compared once.
+    itself up by its rarest inner run of five words, or by all inner words if they are fewer, and
+    is then compared exactly. Phrases of one or two words have none inside and are looked up in
+    the texts' words and pairs of words. Empty and null phrases match nothing. Copies of a phrase
+    or a text are compared once.
     """
     p = phrases.select(F.col(phrase_id).alias("_pid"), F.col(phrase).alias("_phrase")).where(F.col("_phrase").isNotNull())
     t = texts.select(F.col(text_id).alias("_tid"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    own = p.select("_phrase").distinct().withColumn("_w", words(F.col("_phrase"))).where(F.size("_w") >= KEY)
-    inner = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))
-    own = own.withColumn("_i", F.when(F.size("_w") >= KEY + 2, inner).otherwise(F.col("_w"))).withColumn("_key", F.explode(F.array_distinct(_keys(F.col("_i")))))
-    posting = t.select("_text").distinct().select(F.xxhash64("_text").alias("_t"), words(F.col("_text")).alias("_i")).select("_t", F.explode(F.array_distinct(_keys(F.col("_i")))).alias("_key"))
+    own = p.select("_phrase").distinct().withColumn("_w", words(F.col("_phrase"))).where(F.size("_w") > 0)
+    # Texts are cut into runs of those lengths only that some phrase needs; at most seven numbers.
+    sizes = sorted(r[0] for r in own.select(F.least(F.size("_w"), F.lit(KEY + 2))).distinct().collect())
+    inner, units = [n - 2 for n in sizes if n > 2], [n for n in sizes if n <= 2]
+    lengths = sorted({*inner, *units}) or [KEY]
+    once = t.select("_text").distinct().select(F.xxhash64("_text").alias("_t"), words(F.col("_text")).alias("_i"))
+    posting = once.select("_t", F.explode(F.array_distinct(F.concat(*[_keys(F.col("_i"), k) for k in lengths]))).alias("_key"))
+    long = own.where(F.size("_w") > 2).withColumn("_i", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
+    keys = F.coalesce(*[F.when(F.least(F.size("_i"), F.lit(KEY)) == k, _keys(F.col("_i"), k)) for k in inner or [KEY]])
+    long = long.withColumn("_key", F.explode(F.array_distinct(keys))).select("_phrase", "_key")
+    short = cut(_units_with(own, once, units)) if units else None
+    asked = (long.select("_key").unionByName(short.select("_key")) if units else long.select("_key")).distinct()
     # Only the runs that some phrase asks for; counted first and joined after, so written once.
-    wanted = cut(posting.select("_key", "_t").join(own.select("_key").distinct(), "_key", "left_semi"))
+    wanted = cut(posting.select("_key", "_t").join(asked, "_key", "left_semi"))
     frequency = wanted.groupBy("_key").agg(F.count("*").alias("_df"))
-    rarest = own.join(frequency, "_key").groupBy("_phrase").agg(F.min(F.struct("_df", "_key")).alias("_m"), F.count("*").alias("_known"), F.max(F.size("_w")).alias("_n"))
-    hits = rarest.select("_phrase", "_n", F.col("_m._key").alias("_key")).join(wanted, "_key").join(t.select("_text").distinct().withColumn("_t", F.xxhash64("_text")), "_t")
-    whole = F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_phrase", F.lit(" ")))
-    hits = hits.where(F.when(F.col("_n") >= KEY + 2, F.contains("_text", "_phrase")).otherwise(whole)).select("_phrase", "_text").distinct()
+    rarest = long.join(frequency, "_key").groupBy("_phrase").agg(F.min(F.struct("_df", "_key")).alias("_m")).select("_phrase", F.col("_m._key").alias("_key"))
+    hits = (rarest.unionByName(short) if units else rarest).join(wanted, "_key").join(t.select("_text").distinct().withColumn("_t", F.xxhash64("_text")), "_t")
+    hits = hits.where(F.contains("_text", "_phrase")).select("_phrase", "_text").distinct()
     return p.join(hits, "_phrase").join(t, "_text").select(F.col("_pid").alias("phrase_id"), F.col("_tid").alias("text_id")).distinct()
 
 
@@ -150,7 +187,7 @@ def graded_quotes(quotes: DataFrame, quote_id: str, quote: str, texts: DataFrame
     In this order: the whole quote (exact, high); without its dots (partial, high); the search
     phrases in their order; for long quotes, at least seven tenths of the sentences in one and
     the same text (medium); for short ones, any five words in a row (medium); a literal in
-    quotation marks (low). Null quotes, and quotes too short to locate, are ``not_found``.
+    quotation marks (low). Null quotes, and quotes of fewer than five words, are ``not_found``.
     """
     q = quotes.select(F.col(quote_id).alias("quote_id"), F.lower(matchable(F.col(quote))).alias("_q"), quote_parts(F.col(quote)).alias("_parts"))
     t = texts.select(F.lower(matchable(F.col(text))).alias("t")).where("t is not null").distinct().withColumn("tid", F.xxhash64("t"))
@@ -167,10 +204,10 @@ def graded_quotes(quotes: DataFrame, quote_id: str, quote: str, texts: DataFrame
     fives = F.transform(in_rows, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(5)]))
     none = F.array().cast("array<struct<tier:int,phrase:string,grade:string,of:int>>")
     tiers = F.concat(
-        F.array(item(1, F.col("_q"), F.lit("high"))),
+        F.when(F.size("_w") >= 5, F.array(item(1, F.col("_q"), F.lit("high")))).otherwise(none),
         F.when(F.length(plain) > 20, F.array(item(2, plain, F.lit("high")))).otherwise(none),
         F.transform(search_phrases(F.col("_parts")), lambda x, i: F.struct(F.lit(3).alias("tier"), x["phrase"].alias("phrase"), x["grade"].alias("grade"), (i + 1).cast("int").alias("of"))),
-        F.when(n > 100, F.transform(sentences, lambda s: item(4, s, F.lit("medium"), F.size(sentences)))).otherwise(none),
+        F.when(n > 100, F.filter(F.transform(sentences, lambda s: item(4, s, F.lit("medium"), F.size(sentences))), lambda x: F.length(x["phrase"]) > 10)).otherwise(none),
         F.when(n.between(20, 100) & (F.size("_w") >= 5), F.filter(many(5, fives, "medium"), lambda x: ~x["phrase"].contains("..."))).otherwise(none),
         many(6, F.regexp_extract_all("_q", F.lit(r'("[^"]{10,}")'), 1), "low"),
     )
