@@ -26,7 +26,9 @@ def quote_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quote_start_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return G.chunks_of_quotes(_quotes(spark, folder), _chunks(spark, folder))
+    # Of at least seven words, as the SQL has it.
+    q = _quotes(spark, folder).where(F.size(words(F.col("quoted_text"))) >= 7)
+    return G.chunks_of_quotes(q, _chunks(spark, folder))
 
 
 def _expected(spark: SparkSession, folder: str) -> DataFrame:
