@@ -3,10 +3,12 @@
 Every run of ``min_len`` characters holds an anchor that depends on the run alone: the place
 where the fingerprint of the next ``prefix`` characters is least. So two records that share a run
 have the suffixes at its anchor in the same subtree, that of the suffixes opening with those
-characters, and only anchored suffixes, one in some dozens, are sorted into trees. Subtrees are
-the groups of a shuffle. A node of string depth ``min_len - l`` whose suffixes also agree in the
-``l`` characters before them is a repeat of the wanted length: the suffixes of a subtree are
-compared in every such split, which gives all its deep nodes at once.
+characters, and only anchored suffixes, one in some dozens, go into trees. Subtrees are the groups
+of a shuffle in which the suffixes are sorted; longest common prefixes of neighbours give the
+inner nodes. As an anchor may lie anywhere in a run, the letters before it form a second tree, of
+reversed prefixes. A node of string depth ``min_len - l`` in the one and a node of depth ``l`` in
+the other, with suffixes of two records in both, are a shared run that begins ``l`` letters before
+the anchor. Equality is that of letters everywhere; fingerprints only bring suffixes together.
 
 Prefixes are of variable length: where more than ``max_group`` suffixes open alike, the subtree
 is split by everything it takes to fill ``min_len`` characters (the run itself), and those groups
@@ -22,9 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.session import cut
+
 MIN_LEN = 120
 PREFIX = 48
 MAX_GROUP = 20_000
+#: Characters of text whose anchors are found together.
+LETTERS = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -59,8 +65,9 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def anchors(codes: np.ndarray, min_len: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of a text and the fingerprints of the prefixes there."""
+def anchors(codes: np.ndarray, min_len: int, prefix: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors of a text, or of texts one after the other that end at ``ends``, and
+    the fingerprints of the prefixes there."""
     if len(codes) < min_len:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = _rolling(codes, prefix)
@@ -72,6 +79,8 @@ def anchors(codes: np.ndarray, min_len: int, prefix: int) -> tuple[np.ndarray, n
     left = np.minimum.accumulate(blocks, 1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
     least = np.minimum(right[:n], left[width - 1 : width - 1 + n])
+    for end in [] if ends is None else ends:  # windows over the end of a text do not count
+        least[max(end - min_len + 1, 0) : end] = 0
     # All places that are the least of some window that holds them.
     reach = np.concatenate([np.full(width - 1, 0, np.uint64), least, np.full(width - 1, 0, np.uint64)])
     pad = -len(reach) % width
@@ -83,37 +92,75 @@ def anchors(codes: np.ndarray, min_len: int, prefix: int) -> tuple[np.ndarray, n
     return at, h[at]
 
 
-def _shared(batch: pd.DataFrame, min_len: int, prefix: int) -> pd.DataFrame:
-    """Of whole subtrees: the stretches of each suffix that another text holds too."""
-    # A subtree with the suffixes of one text only, held by one record only, has no deep node.
-    by = batch.groupby("subtree")
-    batch = batch[(by["text_id"].transform("nunique") > 1) | (by["many"].transform("max") > 0)]
-    width = min_len - prefix + 1
-    if batch.empty:
-        return pd.DataFrame({"text_id": [], "start": [], "end": []}, dtype="int64")
-    around = batch["around"].tolist()
-    sizes = np.array([len(x) for x in around])
-    offset = np.append(0, np.cumsum(sizes)[:-1])
-    h = _rolling(_codes("".join(around)), min_len)
-    at, text, many = (batch[c].to_numpy() for c in ("at", "text_id", "many"))
-    left = at - batch["from"].to_numpy()
-    salt = _mix(batch["subtree"].to_numpy().view(np.uint64))
-    flag = np.zeros((len(batch), width), bool)  # column c: the run that begins width - 1 - c before the anchor
-    for before in range(width):
-        rows = np.flatnonzero((left >= before) & (left - before + min_len <= sizes))
-        key = h[offset[rows] + left[rows] - before] ^ salt[rows]
-        order = np.lexsort((text[rows], key))
-        rows, key = rows[order], key[order]
-        if not len(rows):
-            continue
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        last = np.append(first[1:], len(key)) - 1
-        several = (text[rows[first]] != text[rows[last]]) | (np.maximum.reduceat(many[rows], first) > 0)
-        flag[rows, width - 1 - before] = np.repeat(several, last - first + 1)
-    edges = np.diff(np.pad(flag.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    (row, up), (_, down) = np.nonzero(edges == 1), np.nonzero(edges == -1)
-    begin = at[row] - (width - 1) + up
-    return pd.DataFrame({"text_id": text[row], "start": begin, "end": begin + (down - up - 1) + min_len}).drop_duplicates()
+def _anchored(pdf: pd.DataFrame, min_len: int, prefix: int) -> Iterator[pd.DataFrame]:
+    """``(subtree, text_id, at)`` of the anchors of texts, some at a time."""
+    sizes = pdf["text"].str.len().to_numpy()
+    part = np.cumsum(sizes) // LETTERS
+    for _, own in pdf.groupby(part, sort=False):
+        ends = np.cumsum(own["text"].str.len().to_numpy())
+        at, h = anchors(_codes("".join(own["text"])), min_len, prefix, ends)
+        text = np.searchsorted(ends, at, "right")
+        yield pd.DataFrame({"subtree": h.view(np.int64), "text_id": own["text_id"].to_numpy()[text], "at": (at - np.append(0, ends)[text]).astype(np.int32)})
+
+
+def _letters(strings: list[str], width: int) -> np.ndarray:
+    """Letters as a matrix, a string a row, filled up with noughts."""
+    return _codes("".join([x.ljust(width, "\0") for x in strings])).reshape(len(strings), width)
+
+
+def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many letters the rows of two matrices have in common at the start, ``most`` at most."""
+    differ = a != b
+    return np.minimum(np.where(differ.any(1), differ.argmax(1), a.shape[1]), most)
+
+
+def _shared(pdf: pd.DataFrame, min_len: int, prefix: int) -> pd.DataFrame:
+    """Of whole subtrees, sorted by ``subtree``, ``ahead``, ``back``: what each suffix shares with
+    other texts, as stretches around its anchor."""
+    none = pd.DataFrame({"text_id": [], "start": [], "end": []}, dtype="int64")
+    if pdf.empty:
+        return none
+    width = min_len - prefix
+    sub, text, at = (pdf[c].to_numpy() for c in ("subtree", "text_id", "at"))
+    ahead, back = pdf["ahead"].tolist(), pdf["back"].tolist()
+    n_ahead, n_back = np.array([len(x) for x in ahead]), np.array([len(x) for x in back])
+    f, b = _letters(ahead, min_len), _letters(back, width)
+    lcp = np.where(sub[1:] == sub[:-1], _common(f[1:], f[:-1], np.minimum(n_ahead[1:], n_ahead[:-1])), -1)
+    alike = (lcp == n_ahead[1:]) & (n_ahead[1:] == n_ahead[:-1]) & (n_back[1:] == n_back[:-1]) & (b[1:] == b[:-1]).all(1)
+    # Leaves: suffixes with the same surroundings. One that two texts hold shares all of it.
+    leaf = np.append(0, np.cumsum(~alike))
+    first = np.flatnonzero(np.append(True, ~alike))
+    lo, hi = np.minimum.reduceat(text, first), np.maximum.reduceat(text, first)
+    least, most = np.full(len(first), min_len), np.full(len(first), -1)  # letters before the anchor
+    whole = lo != hi
+    least[whole], most[whole] = np.maximum(min_len - n_ahead[first], 0)[whole], n_back[first][whole]
+    # The others need a node below which there is another text; only subtrees with such leaves.
+    group = np.append(0, np.cumsum(np.diff(sub[first]) != 0))
+    sizes, open_ = np.bincount(group), np.bincount(group, ~whole)
+    keep = np.flatnonzero(((sizes > 1) & (open_ > 0))[group])
+    if len(keep):
+        g, own = group[keep], first[keep]
+        lcp = np.append(-1, lcp)[own]  # of neighbouring leaves
+        backward = np.array(sorted(range(len(keep)), key=lambda i: (g[i], back[own[i]])))
+        rows = own[backward]
+        lcs = np.append(-1, np.where(g[backward][1:] == g[backward][:-1], _common(b[rows[1:]], b[rows[:-1]], np.minimum(n_back[rows[1:]], n_back[rows[:-1]])), -1))
+        behind = np.empty(len(keep), np.int64)
+        for before in range(width + 1):
+            behind[backward] = np.cumsum(lcs < before)
+            node = np.cumsum(lcp < min_len - before) * (len(keep) + 1) + behind
+            fits = np.flatnonzero((n_ahead[own] >= min_len - before) & (n_back[own] >= before))
+            if not len(fits):
+                continue
+            order = fits[np.argsort(node[fits], kind="stable")]
+            starts = np.flatnonzero(np.append(True, np.diff(node[order]) != 0))
+            several = np.minimum.reduceat(lo[keep[order]], starts) != np.maximum.reduceat(hi[keep[order]], starts)
+            found = keep[order[np.repeat(several, np.diff(np.append(starts, len(order))))]]
+            least[found], most[found] = np.minimum(least[found], before), np.maximum(most[found], before)
+    rows = np.flatnonzero((most >= least)[leaf])
+    if not len(rows):
+        return none
+    # All runs of a suffix hold its anchor, so they are one stretch.
+    return pd.DataFrame({"text_id": text[rows], "start": at[rows] - most[leaf[rows]], "end": at[rows] - least[leaf[rows]] + min_len})
 
 
 def _crowded(suffixes: DataFrame, min_len: int, prefix: int) -> DataFrame:
@@ -121,26 +168,19 @@ def _crowded(suffixes: DataFrame, min_len: int, prefix: int) -> DataFrame:
 
     Suffixes with the same surroundings are one leaf; the runs around the anchor are nodes.
     """
-    leaf_key = ["subtree", "around", "left"]
-    suffixes = suffixes.withColumn("left", F.col("at") - F.col("from"))
-    leaves = suffixes.groupBy(*leaf_key).agg(F.min("text_id").alias("one"), F.max("text_id").alias("other"), F.max("many").alias("many"))
-    latest = F.least(F.col("left"), F.lit(min_len - prefix))
-    earliest = F.greatest(F.col("left") + min_len - F.length("around"), F.lit(0))
+    leaf_key = ["subtree", "ahead", "back"]
+    leaves = suffixes.groupBy(*leaf_key).agg(F.min("text_id").alias("one"), F.max("text_id").alias("other"))
+    latest = F.length("back")
+    earliest = F.greatest(min_len - F.length("ahead"), F.lit(0))
     runs = (
-        leaves.where(earliest <= latest)
+        leaves.withColumn("around", F.concat(F.reverse("back"), F.col("ahead")))
+        .where(earliest <= latest)
         .withColumn("before", F.explode(F.sequence(earliest, latest)))
-        .withColumn("run", F.substr("around", F.col("left") - F.col("before") + 1, F.lit(min_len)))
-    )
-    nodes = runs.groupBy("subtree", "run").agg(F.min("one").alias("lo"), F.max("other").alias("hi"), F.max("many").alias("m")).where("lo <> hi or m > 0")
-    held = runs.join(nodes.select("subtree", "run"), ["subtree", "run"]).groupBy(*leaf_key).agg(F.collect_set("before").alias("held"))
-    ups = F.array_sort(F.filter("held", lambda x: ~F.array_contains("held", x + 1)))
-    downs = F.array_sort(F.filter("held", lambda x: ~F.array_contains("held", x - 1)))
-    return (
-        suffixes.join(held, leaf_key)
-        .withColumn("z", F.explode(F.arrays_zip(ups.alias("up"), downs.alias("down"))))
-        .select("text_id", (F.col("at") - F.col("z.up")).cast("long").alias("start"), (F.col("at") - F.col("z.down") + min_len).cast("long").alias("end"))
-        .distinct()
+        .withColumn("run", F.substr("around", F.length("back") - F.col("before") + 1, F.lit(min_len)))
     )
+    nodes = runs.groupBy("subtree", "run").agg(F.min("one").alias("lo"), F.max("other").alias("hi")).where("lo <> hi")
+    held = runs.join(nodes.select("subtree", "run"), ["subtree", "run"]).groupBy(*leaf_key).agg(F.min("before").alias("least"), F.max("before").alias("most"))
+    return suffixes.join(held, leaf_key).select("text_id", (F.col("at") - F.col("most")).cast("long").alias("start"), (F.col("at") - F.col("least") + min_len).cast("long").alias("end"))
 
 
 def shared_spans(df: DataFrame, record: list[str], text: str, min_len: int = MIN_LEN, prefix: int = PREFIX, max_group: int = MAX_GROUP) -> DataFrame:
@@ -151,25 +191,26 @@ def shared_spans(df: DataFrame, record: list[str], text: str, min_len: int = MIN
     Records are told apart by the ``record`` columns, which should be unique but for repeated
     deliveries of the same content; those are one record. Texts are compared as stored. Null and
     shorter texts share nothing; a text held by two records is shared whole; a run repeated
-    inside one record only is not shared. Equality is that of 64-bit fingerprints under the same
-    opening characters. Other columns are ignored; an empty table gives no rows.
+    inside one record only is not shared. Other columns are ignored; an empty table gives no rows.
     """
     # Two columns of the same text in every record: the record's key and the text's id.
     keys = [f"_r{i}" for i in range(len(record))]  # record columns may be named like ours
-    rows = df.select(*[F.col(c).alias(k) for c, k in zip(record, keys, strict=True)], F.col(text).alias("text")).where(F.length("text") >= min_len).distinct().withColumn("text_id", F.xxhash64("text"))
+    given = df.select(*[F.col(c).alias(k) for c, k in zip(record, keys, strict=True)], F.col(text).alias("text")).where(F.length("text") >= min_len).withColumn("text_id", F.xxhash64("text"))
+    rows = given.select(*keys, "text_id", F.length("text").alias("text_length")).distinct()
     # Copies of a text are compared once.
-    texts = rows.groupBy("text_id", "text").agg((F.count("*") > 1).cast("int").alias("many"))
+    texts = given.groupBy("text_id").agg(F.first("text").alias("text"))
 
     def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield from _anchored(pdf, min_len, prefix)
+
+    def surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reach = min_len - prefix
         for pdf in batches:
-            out = []
-            for text_id, body, many in zip(pdf["text_id"], pdf["text"], pdf["many"], strict=True):
-                at, h = anchors(_codes(body), min_len, prefix)
-                for a, k in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                    b = max(a - reach, 0)
-                    out.append((k, text_id, a, b, body[b : a + min_len], many))
-            yield pd.DataFrame(out, columns=["subtree", "text_id", "at", "from", "around", "many"])
+            n = pdf["at"].str.len().to_numpy()
+            ids, at, sub = np.repeat(pdf["text_id"].to_numpy(), n), np.concatenate([*pdf["at"], np.empty(0, np.int32)]), np.concatenate([*pdf["subtree"], np.empty(0, np.int64)])
+            bodies = [(x, a) for x, places in zip(pdf["text"], pdf["at"], strict=True) for a in places.tolist()]
+            yield pd.DataFrame({"subtree": sub, "text_id": ids, "at": at, "ahead": [x[a : a + min_len] for x, a in bodies], "back": [x[max(a - reach, 0) : a][::-1] for x, a in bodies]})
 
     def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches come sorted by subtree; the last one of a batch may go on in the next."""
@@ -182,11 +223,21 @@ def shared_spans(df: DataFrame, record: list[str], text: str, min_len: int = MIN
         if open_ is not None:
             yield _shared(open_, min_len, prefix)
 
-    suffixes = texts.mapInPandas(anchored, "subtree long, text_id long, at int, `from` int, around string, many int")
-    crowded = suffixes.groupBy("subtree").agg(F.count("*").alias("n")).where(F.col("n") > max_group).select("subtree", F.lit(True).alias("crowded"))
-    told = suffixes.join(crowded, "subtree", "left")
-    small = told.where("crowded is null").drop("crowded").repartition("subtree").sortWithinPartitions("subtree").mapInPandas(subtrees, "text_id long, start long, end long")
-    found = small.unionByName(_crowded(suffixes.join(crowded, "subtree", "left_semi"), min_len, prefix))
+    # Three numbers an anchor; which prefixes two texts have is known before any letters travel.
+    places = cut(texts.mapInPandas(anchored, "subtree long, text_id long, at int"))
+    prefixes = places.groupBy("subtree").agg(F.count("*").alias("n"), F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi")
+    prefixes = cut(prefixes.select("subtree", (F.col("n") > max_group).alias("crowded")))
+
+    def suffixes(kind: DataFrame) -> DataFrame:
+        wanted = places.join(kind, "subtree", "left_semi").groupBy("text_id").agg(F.collect_list("at").alias("at"), F.collect_list("subtree").alias("subtree"))
+        return texts.join(wanted, "text_id").mapInPandas(surroundings, "subtree long, text_id long, at int, ahead string, back string")
+
+    small = suffixes(prefixes.where("not crowded")).repartition("subtree").sortWithinPartitions("subtree", "ahead", "back")
+    found = small.mapInPandas(subtrees, "text_id long, start long, end long")
+    if not (crowded := prefixes.where("crowded")).isEmpty():
+        found = found.unionByName(_crowded(suffixes(crowded), min_len, prefix))
+    copied = rows.groupBy("text_id").agg(F.count("*").alias("n"), F.max("text_length").alias("end")).where("n > 1")
+    found = found.unionByName(copied.select("text_id", F.lit(0).cast("long").alias("start"), F.col("end").cast("long").alias("end")))
 
     w = Window.partitionBy("text_id").orderBy("start")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -194,7 +245,7 @@ def shared_spans(df: DataFrame, record: list[str], text: str, min_len: int = MIN
     island = longest.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = island.groupBy("text_id", "island").agg(F.min("start").cast("int").alias("span_start"), F.max("end").cast("int").alias("span_end"))
     named = [F.col(k).alias(c) for c, k in zip(record, keys, strict=True)]
-    return rows.select(*keys, "text_id", F.length("text").alias("text_length")).join(spans, "text_id").select(*named, "text_length", "span_start", "span_end")
+    return rows.join(spans, "text_id").select(*named, "text_length", "span_start", "span_end")
 
 
 def shared_parts(spans: DataFrame, record: list[str]) -> DataFrame:
