@@ -58,7 +58,7 @@ def p5_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_inferred(spark: SparkSession, folder: str) -> DataFrame:
-    return infer_speakers(_cues(spark, folder))
+    return infer_speakers(_cues(spark, folder)).select("video_id", "segment_id", "named", "speaker_no")
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
