@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import cache, lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -347,25 +348,27 @@ def _copied(question: str, answer: str) -> bool:
     return len(a) - covered <= own and taken >= TAKEN * len(q)
 
 
-_ANSWER = T.StructType([T.StructField("defect", T.StringType()), T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("words", T.StringType())])
+def _answer_alone(x: str | None) -> tuple[str | None, tuple[str, ...], str]:
+    if is_empty(x):
+        return "empty", (), ""
+    return "refusal" if is_refusal(x) else "truncated" if is_truncated(x) else None, languages(x), tokens_to_compare(x)
 
 
-@F.pandas_udf(_ANSWER)
-def _answer_alone(answers: pd.Series) -> pd.DataFrame:
-    def one(x: str | None) -> tuple[str | None, tuple[str, ...], str]:
-        if is_empty(x):
-            return "empty", (), ""
-        return "refusal" if is_refusal(x) else "truncated" if is_truncated(x) else None, languages(x), tokens_to_compare(x)
+def _question_alone(x: str | None) -> tuple[str | None, tuple[str, ...], str]:
+    return None, languages(x), " ".join(_tokens(x or ""))
 
-    return pd.DataFrame([one(x) for x in answers], columns=["defect", "langs", "words"])
 
+def _seen_alone(texts: DataFrame, text: str, see: Callable[[str | None], tuple[str | None, tuple[str, ...], str]]) -> DataFrame:
+    """``texts`` with ``(defect, langs, words)`` in place of the text. A map over batches, since the
+    optimizer would move a filter on the result of a function of a column below the shuffle and
+    work the function out a second time."""
+    rest = [f for f in texts.schema.fields if f.name != text]
 
-_QUESTION = T.StructType([T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("words", T.StringType())])
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.drop(columns=text).assign(**dict(zip(("defect", "langs", "words"), zip(*map(see, pdf[text]), strict=True) if len(pdf) else ([], [], []), strict=True)))
 
-
-@F.pandas_udf(_QUESTION)
-def _question_alone(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(languages(x), " ".join(_tokens(x or ""))) for x in texts], columns=["langs", "words"])
+    return texts.mapInPandas(seen, T.StructType([*rest, T.StructField("defect", T.StringType()), T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("words", T.StringType())]))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -383,19 +386,19 @@ def pair_defects(questions: DataFrame, question_id: str, key: str, question: str
     share is joined under Spark's own skew handling; the answer's part is done before the join.
     """
     a = answers.select(F.col(answer_key).alias("_key"), F.col(answer).alias("_answer")).where("_key is not null").distinct()
-    a = a.select("_key", _answer_alone("_answer").alias("_a")).select("_key", "_a.*")
+    a = _seen_alone(a, "_answer", _answer_alone)
     a = a.withColumn("_different", F.array_distinct(F.split("words", " "))).withColumn("_own", F.greatest(F.lit(2.0), OWN * F.size(F.split("words", " "))))
     q = questions.select(F.col(question_id).alias("question_id"), F.col(key).alias("_key"), F.col(question).alias("_question")).where("_key is not null").distinct()
-    q = q.select("question_id", "_key", _question_alone("_question").alias("_q"))
+    q = _seen_alone(q, "_question", _question_alone).select("question_id", "_key", F.col("langs").alias("_q_langs"), F.col("words").alias("_q"))
     # A copy has few words of its own, and so few different ones; only such answers are tiled.
-    near = F.size(F.array_except("_different", F.split("_q.words", " "))) <= F.col("_own")
-    other = (F.size("_q.langs") > 0) & (F.size("langs") > 0) & ~F.arrays_overlap("_q.langs", "langs")
-    pairs = q.join(a, "_key").withColumn("_other", other).withColumn("_near", near & (F.col("_q.words") != "") & (F.col("words") != "")).where("defect is not null or _near or _other")
-    pairs = pairs.withColumn("_copy", _copies("_q.words", F.when(F.col("_near"), F.col("words"))))
+    near = (F.col("_q") != "") & (F.col("words") != "") & (F.size(F.array_except("_different", F.split("_q", " "))) <= F.col("_own"))
+    other = (F.size("_q_langs") > 0) & (F.size("langs") > 0) & ~F.arrays_overlap("_q_langs", "langs")
+    pairs = q.join(a, "_key").withColumns({"_other": other, "_near": near}).where("defect is not null or _near or _other")
+    pairs = pairs.withColumn("_copy", _copies("_q", F.when(F.col("_near"), F.col("words"))))
     found = (
         F.when(F.col("defect") == "empty", "empty")
         .when(F.col("_copy"), "copies_question")
         .when(F.col("defect").isNotNull(), F.col("defect"))
         .when(F.col("_other"), "other_language")
     )
-    return pairs.select("question_id", found.alias("defect_type")).where("defect_type is not null").distinct()
+    return pairs.select("question_id", F.explode(F.filter(F.array(found), lambda x: x.isNotNull())).alias("defect_type")).distinct()
