@@ -1,3 +1,8 @@
+import random
+
+from pyspark.sql import functions as F
+
+from turnmill.llm import titles as T
 from turnmill.llm.titles import best_titles
 
 LISTED = [
@@ -50,3 +55,17 @@ def test_prefix_filter_loses_nothing(spark, small):
         same = [i for t, i in ids.items() if re.sub(r"\W", "", t).lower() == re.sub(r"\W", "", value).lower()]
         assert not same or title_id in same
     assert p2_found(spark, small).where("title_id > 0").count() > 0
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Of values without a series: all pairs by the plain predicate, over all values and forms."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(2, 5)))
+    listed = [(i, " ".join(word() for _ in range(r.randint(1, 5)))) for i in range(60)]
+    typed = [" ".join(w for w in t.split() if r.random() < 0.7) + r.choice(["", " " + word(), " x"]) for _, t in listed] + [word() for _ in range(40)]
+    entries = T._list_side(spark.createDataFrame(listed, "k long, t string"), "k", "t").cache()
+    values = spark.createDataFrame(list(enumerate(dict.fromkeys(typed))), "_id long, v string").select("_id", F.lit(False).alias("_without"), T.triples(T.squeezed(F.col("v"))).alias("_core")).cache()
+    got = {tuple(x) for x in T._alike(values, entries).collect()}
+    forms = [(e["title_id"], set(f)) for e in entries.collect() for f in e["_forms"]]
+    want = {(v["_id"], k) for v in values.collect() if v["_core"] for x in [set(v["_core"])] for k, f in forms if len(x & f) >= T.LOOK * len(x) and len(x & f) >= T.ALIKE * len(x | f)}
+    assert want <= got and len(got) < 60 * len(set(typed)) / 2
