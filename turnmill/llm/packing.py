@@ -3,8 +3,10 @@
 Lengths are taken in 128 steps of the capacity. A pattern is a few lengths that together fill a
 container; how often each pattern is used is fitted to the histogram of lengths, rounded down,
 and what is left over is packed by best fit in groups. Patterns stay short (four items at most)
-because small items are packed first, by the same method, into bundles of a quarter of the next
-capacity, from level to level. Only histograms (128 counts) come to the driver.
+because items of a sixteenth to a quarter of the capacity are packed first, by the same method,
+into bundles of a quarter. Smaller items are what fills the rest: they are packed by best fit into
+the room that is left in containers, and into new ones. Only histograms (128 counts) and three
+other numbers come to the driver.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ STEPS = 128
 RATIO = 4
 #: A pattern leaves at most this many steps unused.
 SLACK = 6
-#: Left-over items packed by one task, and items of one length numbered by one task.
-GROUP = 4_000
+#: Items or containers of one task where best fit packs what is left, and items of one length
+#: numbered by one task.
+GROUP = 20_000
 NUMBERED = 200_000
 
 
@@ -97,10 +100,11 @@ def repeats(histogram: np.ndarray, slack: int = SLACK) -> list[tuple[tuple[int,
     return used
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[int]:
-    """Best fit decreasing: the container number of each item."""
-    free: list[tuple[int, int]] = []  # (room left, container)
-    out, n = [0] * len(sizes), 0
+def best_fit(sizes: list[int], capacity: int, rooms: list[int] | None = None) -> list[int]:
+    """Best fit decreasing: the container number of each item. The first containers are those that
+    have ``rooms`` left; new ones follow."""
+    free = sorted((room, i) for i, room in enumerate(rooms or []))  # room left, container
+    out, n = [0] * len(sizes), len(free)
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         at = bisect_left(free, (sizes[i], -1))
         if at == len(free):
@@ -155,14 +159,31 @@ def _level(items: DataFrame, capacity: int, name: str) -> DataFrame:
     return placed.where("box is not null").unionByName(packed)
 
 
-def pack(items: DataFrame, item_id: str, size: str, capacity: int = 8192, smallest: int = 32) -> DataFrame:
+def _filled(boxed: DataFrame, small: DataFrame, capacity: int) -> DataFrame:
+    """``(item, box)`` of the small items: in boxes of ``(item, size, box)`` that have room, or new."""
+    rooms = boxed.groupBy("box").agg((F.lit(capacity) - F.sum("size")).alias("size")).where("size > 0")
+    both = rooms.select(F.lit(None).cast("string").alias("item"), "size", "box").unionByName(small.select("item", "size", F.lit(None).cast("string").alias("box")))
+    counts = both.agg(F.count("box").alias("boxes"), F.count("item").alias("items")).first()
+    groups = max(1, -(-max(counts["boxes"], counts["items"]) // GROUP))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        room = pdf[pdf["item"].isna()].sort_values(["size", "box"])
+        items = pdf[pdf["item"].notna()].sort_values(["size", "item"])
+        names, g = room["box"].tolist(), int(pdf["g"].iloc[0])
+        boxes = best_fit(items["size"].tolist(), capacity, room["size"].tolist())
+        return pd.DataFrame({"item": items["item"], "box": [names[b] if b < len(names) else f"s{g}-{b}" for b in boxes]})
+
+    return both.withColumn("g", F.pmod(F.xxhash64(F.coalesce("item", "box")), F.lit(groups))).groupBy("g").applyInPandas(fill, "item string, box string")
+
+
+def pack(items: DataFrame, item_id: str, size: str, capacity: int = 8192) -> DataFrame:
     """``(item_id, piece, from_unit, to_unit, size, container)``: every item in one container.
 
     No container holds more than ``capacity``. Only an item that is larger than that is cut, into
     pieces that fill containers of their own and a last piece that is packed with other items. An
     empty item (or a null size) takes no room, but has its container. ``item_id`` must be unique;
     extra columns are ignored; an empty table gives no rows. The same table gives the same
-    containers. Levels below ``smallest`` units are not bundled by patterns but by best fit.
+    containers.
     """
     sized = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("all"))
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("all") / capacity) - 1, F.lit(0)).cast("int")))).select(
@@ -173,23 +194,14 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int = 8192, smalle
     )
     pieces = pieces.withColumn("size", F.col("to_unit") - F.col("from_unit")).withColumn("item", F.concat_ws("-", F.lit("i"), "item_id", "piece"))
     pieces = cut(pieces)
-    full = pieces.where(F.col("size") == capacity).select(*pieces.columns, F.col("item").alias("box"))
-    open_ = pieces.where(F.col("size") < capacity)
-
-    levels, c = [], capacity
-    while c >= smallest:
-        levels.insert(0, c)
-        c //= RATIO
-    # Each item enters at the level of which it takes more than a quarter.
-    bundles, members, below = None, None, -1
-    for n, c in enumerate(levels):
-        fresh = open_.where((F.col("size") > below) & (F.col("size") <= c)) if n < len(levels) - 1 else open_.where(F.col("size") > below)
-        below = c
-        own = fresh.select("item", "size")
-        boxed = cut(_level(own if bundles is None else own.unionByName(bundles), c, f"l{n}"))
-        bundles = boxed.groupBy(F.col("box").alias("item")).agg(F.sum("size").alias("size"))
-        joined = fresh.withColumn("at", F.col("item"))
-        members = joined if members is None else members.unionByName(joined)
-        members = members.join(boxed.select(F.col("item").alias("at"), "box"), "at").drop("at").withColumn("at", F.col("box")).drop("box")
-    columns = ["item_id", "piece", "from_unit", "to_unit", "size"]
-    return members.select(*columns, F.col("at").alias("container")).unionByName(full.select(*columns, F.col("box").alias("container")))
+    quarter = capacity // RATIO
+    own = pieces.select("item", "size")
+    full = own.where(F.col("size") == capacity).select("item", F.col("item").alias("box"))
+    small = own.where(F.col("size") <= quarter // RATIO)
+    bundled = cut(_level(own.where((F.col("size") > quarter // RATIO) & (F.col("size") <= quarter)), quarter, "b"))
+    bundles = bundled.groupBy(F.col("box").alias("item")).agg(F.sum("size").alias("size"))
+    boxed = cut(_level(own.where((F.col("size") > quarter) & (F.col("size") < capacity)).unionByName(bundles), capacity, "c"))
+    inside = bundled.select("item", F.col("box").alias("bundle")).join(boxed.select(F.col("item").alias("bundle"), "box"), "bundle").select("item", "box")
+    alone = boxed.join(bundles.select("item"), "item", "left_anti").select("item", "box")
+    placed = full.unionByName(inside).unionByName(alone).unionByName(_filled(boxed, small, capacity))
+    return pieces.join(placed, "item").select("item_id", "piece", "from_unit", "to_unit", "size", F.col("box").alias("container"))
