@@ -24,10 +24,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that all executors share and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, local runs) a temporary one is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session (tests,
+    benches) may leave it unset and gets a temporary one; on a cluster other machines could not
+    read that, so it is refused.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="turnmill-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnmill-"))
     return df.checkpoint()
