@@ -7,7 +7,7 @@ pieces a shard, those that come first and last in it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ten minutes. A shard has at most this many distinct starts, whatever the number of rows.
@@ -56,22 +56,28 @@ def coverage(df: DataFrame, entity: str, start: str, end: str, shard_ms: int = S
     pieces = merged.select(
         "_entity", "_shard", "_start", "_end", F.lag("_end").over(shard).alias("_before"), F.lead("_start").over(shard).alias("_after")
     )
-    inner = F.col("_before").isNotNull() & F.col("_after").isNotNull()
-    gap_before = F.struct(F.lit("gap").alias("kind"), F.col("_before").alias("start_ms"), F.col("_start").alias("end_ms"))
-    whole = F.struct(F.lit("period").alias("kind"), F.col("_start").alias("start_ms"), F.col("_end").alias("end_ms"))
+    def row(kind: str, start: Column, end: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), start.alias("_start"), end.alias("_end"))
+
+    def listed(*rows: Column) -> Column:
+        return F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull()))
+
     # A piece at the edge of its shard goes on to the stitching, as kind 'edge'.
-    edge = F.struct(F.lit("edge").alias("kind"), F.col("_start").alias("start_ms"), F.col("_end").alias("end_ms"))
-    found = pieces.select(
-        "_entity",
-        "_shard",
-        F.inline(F.filter(F.array(F.when(F.col("_before").isNotNull(), gap_before), F.when(inner, whole), F.when(~inner, edge)), lambda x: x.isNotNull())),
-    )
-    # One pass over the shards serves both results: everything already final passes through the
-    # same exchange keyed by (entity, shard) and only the edges are grouped by entity.
-    edges = found.where("kind = 'edge'").select("_entity", "_shard", F.col("start_ms").alias("_start"), F.col("end_ms").alias("_end"))
-    entity_w = Window.partitionBy("_entity").orderBy("_start")
-    stitched = _islands(edges, ["_entity"], ["_start"]).withColumn("_last_shard", F.lag("_shard").over(entity_w)).withColumn("_last_end", F.lag("_end").over(entity_w))
-    periods = stitched.groupBy("_entity", "_island").agg(F.min("_start").alias("start_ms"), F.max("_end").alias("end_ms")).select("_entity", F.lit("period").alias("kind"), "start_ms", "end_ms")
-    gaps = stitched.where("_last_shard < _shard and _last_end < _start").select("_entity", F.lit("gap").alias("kind"), F.col("_last_end").alias("start_ms"), F.col("_start").alias("end_ms"))
-    final = found.where("kind <> 'edge'").select("_entity", "kind", "start_ms", "end_ms")
-    return final.unionByName(periods).unionByName(gaps).withColumnRenamed("_entity", entity)
+    inner = F.col("_before").isNotNull() & F.col("_after").isNotNull()
+    gap_before = F.when(F.col("_before").isNotNull(), row("gap", F.col("_before"), F.col("_start")))
+    own = F.when(inner, row("period", F.col("_start"), F.col("_end"))).otherwise(row("edge", F.col("_start"), F.col("_end")))
+    found = pieces.select("_entity", "_shard", listed(gap_before, own))
+    # One pass: what is final keeps the shard as its key and goes through the same exchange as the
+    # edges, which come together by entity, at most two a shard.
+    edge = F.col("kind") == "edge"
+    by = Window.partitionBy("_entity", "_key").orderBy("_start")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    keyed = found.withColumn("_key", F.when(~edge, F.col("_shard")))
+    before = F.max("_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    stitched = keyed.withColumns({"_until": before, "_covered": F.max("_end").over(upto), "_last_shard": F.lag("_shard").over(by)})
+    stitched = stitched.withColumn("_new", F.col("_until").isNull() | (F.col("_start") > F.col("_until")))
+    stitched = stitched.withColumns({"_since": F.max(F.when(F.col("_new"), F.col("_start"))).over(upto), "_closed": F.coalesce(F.lead("_new").over(by), F.lit(True))})
+    gap = F.when(edge & F.col("_new") & (F.col("_last_shard") < F.col("_shard")), row("gap", F.col("_until"), F.col("_start")))
+    period = F.when(edge & F.col("_closed"), row("period", F.col("_since"), F.col("_covered")))
+    final = F.when(~edge, F.struct("kind", "_start", "_end"))
+    return stitched.select(F.col("_entity").alias(entity), listed(gap, period, final)).toDF(entity, "kind", "start_ms", "end_ms")
