@@ -42,7 +42,7 @@ def _units_with(short: DataFrame, texts: DataFrame, sizes: list[int]) -> DataFra
             gram = F.substring("_phrase", 1, GRAM)
         else:
             grams = F.array(*[_around_space(ws[0], i, ws[1], j) for i in range(1, half + 1) for j in range(1, half + 1)])
-            gram = _around_space(F.col("_w")[0], half, F.col("_w")[1], half)
+            gram = _around_space(F.try_element_at("_w", F.lit(1)), half, F.try_element_at("_w", F.lit(2)), half)
         asked = short.where(F.size("_w") == k).select("_phrase", gram.alias("_gram"))
         unit = unit.select("_unit", F.xxhash64(*ws).alias("_key"), F.explode(F.array_distinct(grams)).alias("_gram"))
         found.append(unit.join(asked, "_gram").where(F.contains("_unit", "_phrase")).select("_phrase", "_key"))
@@ -143,15 +143,20 @@ def resolved_titles(typed: DataFrame, value: str, listed: DataFrame, key: str, t
     """``(value, title_id, how)`` of each different typed title: ``exact`` (but for case), else
     ``partial`` (one holds the other; the first of the list), else ``transcript_not_found``.
 
-    Containment has no key to join by, so the list goes to every task; it is refused beyond
-    ``most`` entries. A leading ``TRANSCRIPT n:`` does not count.
+    A list of up to ``most`` entries goes to every task, since containment has no key to join by;
+    titles of a longer one are located in the typed ones, and these in them. Blank titles of either
+    side match nothing. A leading ``TRANSCRIPT n:`` does not count.
     """
-    if listed.limit(most + 1).count() > most:
-        raise ValueError(f"a list of more than {most} titles is not sent to every task")
     v = typed.select(F.col(value).alias("value")).where(F.trim(F.col(value)) != "").distinct()
     v = v.withColumn("_v", F.lower(F.regexp_replace(one_spaced(F.col("value")), r"^TRANSCRIPT \d+: ", "")))
-    entries = F.broadcast(listed.select(F.col(key).alias("title_id"), F.lower(F.col(title)).alias("_t")))
-    hit = v.join(entries, F.contains("_v", "_t") | F.contains("_t", "_v"), "left")
+    entries = listed.select(F.col(key).alias("title_id"), F.lower(F.col(title)).alias("_t")).where(F.trim("_t") != "")
+    if listed.limit(most + 1).count() <= most:
+        hit = v.join(F.broadcast(entries), F.contains("_v", "_t") | F.contains("_t", "_v"), "left")
+    else:
+        inside = located(v, "value", "_v", entries, "title_id", "_t").toDF("value", "title_id")
+        around = located(entries, "title_id", "_t", v, "value", "_v").toDF("title_id", "value")
+        both = inside.unionByName(around).distinct().join(entries, "title_id")
+        hit = v.join(both, "value", "left")
     best = hit.groupBy("value").agg(F.min(F.when(F.col("title_id").isNotNull(), F.struct((F.col("_t") != F.col("_v")).alias("_other"), "title_id"))).alias("_best"))
     how = F.when(F.col("_best").isNull(), "transcript_not_found").when(F.col("_best._other"), "partial").otherwise("exact")
     return best.select("value", "_best.title_id", how.alias("how"))
@@ -187,7 +192,7 @@ def graded_quotes(quotes: DataFrame, quote_id: str, quote: str, texts: DataFrame
     In this order: the whole quote (exact, high); without its dots (partial, high); the search
     phrases in their order; for long quotes, at least seven tenths of the sentences in one and
     the same text (medium); for short ones, any five words in a row (medium); a literal in
-    quotation marks (low). Null quotes, and quotes of fewer than five words, are ``not_found``.
+    quotation marks (low). Null and blank quotes are ``not_found``.
     """
     q = quotes.select(F.col(quote_id).alias("quote_id"), F.lower(matchable(F.col(quote))).alias("_q"), quote_parts(F.col(quote)).alias("_parts"))
     t = texts.select(F.lower(matchable(F.col(text))).alias("t")).where("t is not null").distinct().withColumn("tid", F.xxhash64("t"))
@@ -204,7 +209,7 @@ def graded_quotes(quotes: DataFrame, quote_id: str, quote: str, texts: DataFrame
     fives = F.transform(in_rows, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(5)]))
     none = F.array().cast("array<struct<tier:int,phrase:string,grade:string,of:int>>")
     tiers = F.concat(
-        F.when(F.size("_w") >= 5, F.array(item(1, F.col("_q"), F.lit("high")))).otherwise(none),
+        F.array(item(1, F.col("_q"), F.lit("high"))),
         F.when(F.length(plain) > 20, F.array(item(2, plain, F.lit("high")))).otherwise(none),
         F.transform(search_phrases(F.col("_parts")), lambda x, i: F.struct(F.lit(3).alias("tier"), x["phrase"].alias("phrase"), x["grade"].alias("grade"), (i + 1).cast("int").alias("of"))),
         F.when(n > 100, F.filter(F.transform(sentences, lambda s: item(4, s, F.lit("medium"), F.size(sentences))), lambda x: F.length(x["phrase"]) > 10)).otherwise(none),

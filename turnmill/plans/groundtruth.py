@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.functions.text import normalized, words
+from turnmill.functions.text import normalized
 from turnmill.operators import groundtruth as G
 from turnmill.sources.tables import records, table
 
@@ -19,16 +19,14 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quote_exact(spark: SparkSession, folder: str) -> DataFrame:
-    """Quotes that stand in a chunk as a whole, but for spaces and case, of at least seven words."""
-    q = _quotes(spark, folder).select("quote_id", normalized(F.col("quoted_text")).alias("q")).where(F.size(words(F.col("q"))) >= 7)
+    """Quotes that stand in a chunk as a whole, but for spaces and case."""
+    q = _quotes(spark, folder).select("quote_id", normalized(F.col("quoted_text")).alias("q"))
     c = _chunks(spark, folder).select("id", normalized(F.col("text")).alias("t"))
     return G.located(q, "quote_id", "q", c, "id", "t").toDF("quote_id", "id")
 
 
 def quote_start_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    # Of at least seven words, as the SQL has it.
-    q = _quotes(spark, folder).where(F.size(words(F.col("quoted_text"))) >= 7)
-    return G.chunks_of_quotes(q, _chunks(spark, folder))
+    return G.chunks_of_quotes(_quotes(spark, folder), _chunks(spark, folder))
 
 
 def _expected(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,12 +94,49 @@ WITH q AS (SELECT quote_id, insight_id, transcript_title, {_NORM.format('quoted_
 c AS (SELECT id, {_NORM.format('text')} AS c, {_T.format('title')} AS t FROM (SELECT DISTINCT id, text, title FROM fixed_chunks))
 """
 _M = _Q + """,
-m AS (SELECT quote_id, insight_id, id FROM q JOIN c ON q.t <> '' AND c.t <> '' AND (contains(q.t, c.t) OR contains(c.t, q.t)) AND len(string_split(q, ' ')) >= 7 AND contains(c, array_to_string(list_slice(string_split(q, ' '), 1, 10), ' '))),
+m AS (SELECT quote_id, insight_id, id FROM q JOIN c ON q.t <> '' AND c.t <> '' AND (contains(q.t, c.t) OR contains(c.t, q.t)) AND q <> '' AND contains(c, array_to_string(list_slice(string_split(q, ' '), 1, 10), ' '))),
 e AS (SELECT insight_id, list_sort(list(DISTINCT id)) AS expected FROM m GROUP BY insight_id),
 x AS (SELECT question_id, k.insight_id, expected FROM (SELECT DISTINCT question_id, insight_id FROM questions) k LEFT JOIN e ON e.insight_id = k.insight_id)
 """
+_LIKE = "lower(replace(replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '–', '-'), '—', '-'))"
+_ONE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_LADDER = rf"""
+WITH q AS (SELECT DISTINCT quote_id, {_LIKE.format('quoted_text')} AS s FROM insight_quotes),
+t AS (SELECT row_number() OVER () AS n, x FROM (SELECT DISTINCT {_LIKE.format('text')} AS x FROM fixed_chunks WHERE text IS NOT NULL)),
+a AS (SELECT quote_id, s, string_split(s, ' ') AS w, {_ONE.format(r"regexp_replace(s, '\.{3,}|…', '', 'g')")} AS plain,
+             list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(s, '^(?:…|\.\.\.)', '')), '\.{{3,}}|…'), lambda p: {_ONE.format('p')}), lambda p: len(string_split(p, ' ')) >= 5) AS parts,
+             list_filter(list_transform(string_split(s, '.'), lambda p: trim(p)), lambda p: length(p) > 10) AS sentences FROM q WHERE s <> ''),
+b AS (SELECT *, list_transform(parts, lambda p: string_split(p, ' ')) AS pw FROM a),
+f AS (SELECT quote_id, 1 AS tier, 0 AS place, 'high' AS grade, s AS phrase FROM b
+      UNION ALL SELECT quote_id, 2, 0, 'high', plain FROM b WHERE length(plain) > 20
+      UNION ALL SELECT quote_id, 3, 3 * i + k, CASE WHEN k = 2 AND length(phrase) > 50 THEN 'high' ELSE 'medium' END, phrase
+                FROM (SELECT quote_id, i, k, len(pw[i]) AS n, array_to_string(list_slice(pw[i], 1, 10 + 5 * k), ' ') AS phrase FROM (SELECT *, unnest(range(1, len(pw) + 1)) AS i FROM b), range(3) AS r(k)) WHERE n >= 10 + 5 * k AND length(phrase) > 20
+      UNION ALL SELECT quote_id, 3, 10000 + i, CASE WHEN length(parts[i]) > 50 THEN 'high' ELSE 'medium' END, parts[i] FROM (SELECT *, unnest(range(1, len(pw) + 1)) AS i FROM b) WHERE length(parts[i]) BETWEEN 21 AND 200
+      UNION ALL SELECT quote_id, 3, 20000 + i, 'medium', phrase FROM (SELECT quote_id, i, array_to_string(list_slice(pw[i], len(pw[i]) // 4 + 1, len(pw[i]) // 4 + 15), ' ') AS phrase FROM (SELECT *, unnest(range(1, len(pw) + 1)) AS i FROM b) WHERE len(pw[i]) >= 20) WHERE length(phrase) > 20
+      UNION ALL SELECT quote_id, 5, i, 'medium', phrase FROM (SELECT quote_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM b WHERE length(s) BETWEEN 20 AND 100)) WHERE NOT contains(phrase, '...')
+      UNION ALL SELECT quote_id, 6, 0, 'low', unnest(regexp_extract_all(s, '"[^"]{{10,}}"')) FROM b),
+h AS (SELECT quote_id, tier, place, grade FROM f WHERE EXISTS (SELECT 1 FROM t WHERE contains(x, phrase))
+      UNION ALL SELECT DISTINCT quote_id, 4, 0, 'medium' FROM (SELECT quote_id, t.n, any_value(k) AS k, count(*) AS c FROM (SELECT quote_id, len(sentences) AS k, {_ONE.format("regexp_replace(unnest(sentences), '…', '', 'g')")} AS p FROM b WHERE length(s) > 100) z JOIN t ON length(p) > 10 AND contains(x, p) GROUP BY quote_id, t.n) WHERE c >= 0.7 * k),
+m AS (SELECT quote_id, min({{'tier': tier, 'place': place, 'grade': grade}}) AS b FROM h GROUP BY quote_id),
+l AS (SELECT q.quote_id, b IS NOT NULL AS found, CASE WHEN b IS NULL THEN 'not_found' WHEN b.tier = 1 THEN 'exact' ELSE 'partial' END AS match_type, coalesce(b.grade, 'low') AS confidence FROM (SELECT DISTINCT quote_id FROM q) q LEFT JOIN m ON m.quote_id = q.quote_id)
+"""
 SQL = {
-    "quote_exact": _Q + "SELECT DISTINCT quote_id, id FROM q JOIN c ON contains(c, q) WHERE len(string_split(q, ' ')) >= 7",
+    "quote_ladder": _LADDER + "SELECT * FROM l",
+    "quote_summary": _LADDER + """,
+o AS (SELECT count(*) AS n, 100.0 * count(*) FILTER (found) / count(*) AS rate, 100.0 * count(*) FILTER (match_type = 'exact') / count(*) AS exact FROM l)
+SELECT match_type, confidence, count(*) AS n, round(100.0 * count(*) / any_value(o.n), 1) AS share, round(any_value(rate), 1) AS success,
+       any_value(CASE WHEN rate >= 95 AND exact >= 80 THEN 'excellent' WHEN rate >= 95 THEN 'very good' WHEN rate >= 85 THEN 'good' WHEN rate >= 70 THEN 'fair' ELSE 'poor' END) AS grade FROM l, o GROUP BY match_type, confidence
+""",
+    "questions_verified": _LADDER + """
+SELECT question_id, quotes, found, all_found FROM (SELECT DISTINCT question_id, insight_id FROM questions WHERE insight_id IS NOT NULL) k
+JOIN (SELECT insight_id, count(*) AS quotes, count(*) FILTER (found) AS found, bool_and(found) AS all_found FROM l JOIN (SELECT DISTINCT quote_id, insight_id FROM insight_quotes) i ON i.quote_id = l.quote_id GROUP BY insight_id) g ON g.insight_id = k.insight_id
+""",
+    "word_overlap_80": f"""
+WITH q AS (SELECT DISTINCT quote_id, list_distinct(string_split({_NORM.format('quoted_text')}, ' ')) AS a FROM insight_quotes WHERE trim(quoted_text) <> ''),
+c AS (SELECT DISTINCT id, list_distinct(string_split({_NORM.format('text')}, ' ')) AS b FROM fixed_chunks WHERE text IS NOT NULL)
+SELECT quote_id, id, overlap FROM (SELECT quote_id, id, round(100.0 * len(list_intersect(a, b)) / len(a), 1) AS overlap FROM q, c) WHERE overlap >= 80
+""",
+    "quote_exact": _Q + "SELECT DISTINCT quote_id, id FROM q JOIN c ON contains(c, q) WHERE q <> ''",
     "quote_start_chunks": _M + "SELECT DISTINCT quote_id, id FROM m",
     "questions_mapped": _M + "SELECT question_id, '[' || array_to_string(expected, ',') || ']' AS expected FROM x WHERE expected IS NOT NULL",
     "questions_unmapped": _M + "SELECT question_id, insight_id FROM x WHERE expected IS NULL",
