@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from turnmill.functions.metrics import EVALUATORS, evaluator, precision, recall, reciprocal_rank
 from turnmill.operators import search as S
+from turnmill.plans import search as P
 
 
 def vectors(n, width, seed):
@@ -76,3 +78,68 @@ def test_metrics(spark):
         return F.arrays_overlap(o, e).cast("double")
 
     assert df.select(EVALUATORS.pop("found_any")(o, e).alias("x")).first()["x"] == 1.0
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_index_recall_with_a_third_of_the_cells(spark, scale):
+    folder = f"/root/testdata/{scale}"
+    exact = {(x["query_id"], x["vec_id"]) for x in P.semantic_topk(spark, folder).collect()}
+    found = {(x["query_id"], x["vec_id"]) for x in P.semantic_by_cells(spark, folder).where("query_id <> vec_id").collect()}
+    nearest = {(x["query_id"], x["vec_id"]) for x in P.semantic_topk(spark, folder).where("rank <= 9").collect()}
+    assert len(found) == len(nearest) and len(found & exact) >= 0.9 * len(nearest)
+
+
+def test_parts_of_cells_change_nothing(spark):
+    df = spark.createDataFrame([*vectors(500, 6, 3), (500, None), (501, [0.0] * 6), (502, [])], "id long, v array<double>")
+    centres = S.cells(df.where("v is not null"), "v", 8)
+    one, many = ([tuple(x) for x in S.vector_topk_by_cells(df.where("id % 5 = 0"), "id", "v", df, "id", "v", 4, centres, 3, most=m).orderBy("query_id", "rank").collect()] for m in (10_000, 7))
+    assert one == many and len({x[0] for x in one}) == 100
+
+
+def test_vectors_of_nothing(spark):
+    df = spark.createDataFrame(vectors(20, 4, 3), "id long, v array<double>")
+    assert S.vector_topk(df.limit(0), "id", "v", df, "id", "v", 3).collect() == []
+    assert S.vector_topk(df, "id", "v", df.limit(0), "id", "v", 3).collect() == []
+    assert len(S.vector_topk(df, "id", "v", df, "id", "v", 50).collect()) == 400
+    named = df.selectExpr("concat('v', id) as id", "v")
+    assert {x["id"] for x in S.vector_topk(named, "id", "v", named, "id", "v", 1).collect()} == {f"v{i}" for i in range(20)}
+
+
+def test_rows_of_vectors_are_in_no_exchange(spark, small):
+    plan = P.semantic_topk(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert not any("embedding" in x for x in plan.split("\n") if "Exchange" in x)
+
+
+def test_english(spark):
+    docs = spark.createDataFrame([(1, "She trains the trainers"), (2, "Training and signing of forms"), (3, "A train station"), (4, "the of and"), (5, None)], "id long, text string")
+    ask = {1: "trained", 2: '"signed form"', 3: "training -forms", 4: "stations OR signs", 5: "the", 6: None}
+    q = spark.createDataFrame(list(ask.items()), "qid long, q string")
+    found = lambda **k: {(x["query_id"], x["id"]) for x in S.text_matches(q, "qid", "q", docs, "id", "text", **k).collect()}
+    # "of" stands between, so that the phrase is not in document 2.
+    assert found(english=True) == {(1, 1), (1, 2), (1, 3), (3, 1), (3, 3), (4, 2), (4, 3)}
+    assert found() == set()
+    assert {x for x in found(parse=S.plain_query, english=True) if x[0] == 3} == {(3, 2)}
+
+
+def test_hybrid_search_of_one_question(spark):
+    docs = spark.createDataFrame([(1, "the form is signed", [1.0, 0.0]), (2, "a vote", [0.0, 1.0]), (3, "sign the form", [0.6, 0.8])], "id long, text string, v array<double>")
+    one = spark.createDataFrame([(7, "form", [1.0, 0.0])], "q long, ask string, qv array<double>")
+    got = S.hybrid_search(one, "q", "ask", "qv", docs, "id", "text", "v", 2).orderBy("rank").collect()
+    assert [(x["id"], x["rank"]) for x in got] == [(1, 1), (3, 2)] and got[0]["hybrid_score"] == round(2 / 61, 9)
+    text_only = one.withColumn("qv", F.lit(None).cast("array<double>"))
+    assert {x["id"] for x in S.hybrid_search(text_only, "q", "ask", "qv", docs, "id", "text", "v").collect()} == {1, 3}
+    assert S.hybrid_search(one.limit(0), "q", "ask", "qv", docs, "id", "text", "v").collect() == []
+
+
+def test_registered_measure_is_in_the_means(spark, small):
+    @evaluator("any_found")
+    def any_found(o, e):
+        return F.arrays_overlap(o, e).cast("double")
+
+    try:
+        row = P.metrics_overall(spark, small).first()
+        assert 0 < row["any_found_mean"] <= 1 and "any_found_std" in row
+        assert "any_found_mean" in P.metrics_by_group(spark, small).columns
+    finally:
+        EVALUATORS.pop("any_found")

@@ -37,6 +37,9 @@ def precision(retrieved: Column, expected: Column) -> Column:
 #: Measures by name; more may be added.
 EVALUATORS: dict[str, Callable[[Column, Column], Column]] = {"mrr": reciprocal_rank, "recall": recall, "precision": precision}
 
+#: Measures that plans work out from the number of expected ids, without their list.
+BUILT_IN = frozenset(EVALUATORS)
+
 
 def evaluator(name: str) -> Callable[[Callable[[Column, Column], Column]], Callable[[Column, Column], Column]]:
     """Decorator that registers a measure."""

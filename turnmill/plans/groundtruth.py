@@ -29,7 +29,7 @@ def quote_start_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return G.chunks_of_quotes(_quotes(spark, folder), _chunks(spark, folder))
 
 
-def _expected(spark: SparkSession, folder: str) -> DataFrame:
+def expected_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Questions with the sorted ids of the chunks that their insight's quotes come from."""
     q = records(spark, folder, "questions", "question_id", "insight_id")
     hits = _quotes(spark, folder).select("quote_id", "insight_id").join(quote_start_chunks(spark, folder), "quote_id")
@@ -38,15 +38,15 @@ def _expected(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def questions_mapped(spark: SparkSession, folder: str) -> DataFrame:
-    return _expected(spark, folder).where("expected is not null").select("question_id", F.to_json("expected").alias("expected"))
+    return expected_chunks(spark, folder).where("expected is not null").select("question_id", F.to_json("expected").alias("expected"))
 
 
 def questions_unmapped(spark: SparkSession, folder: str) -> DataFrame:
-    return _expected(spark, folder).where("expected is null").select("question_id", "insight_id")
+    return expected_chunks(spark, folder).where("expected is null").select("question_id", "insight_id")
 
 
 def mapping_stats(spark: SparkSession, folder: str) -> DataFrame:
-    x = _expected(spark, folder).agg(F.count("*").alias("questions"), F.count("expected").alias("mapped"), F.coalesce(F.sum(F.size("expected")), F.lit(0)).alias("chunks"))
+    x = expected_chunks(spark, folder).agg(F.count("*").alias("questions"), F.count("expected").alias("mapped"), F.coalesce(F.sum(F.size("expected")), F.lit(0)).alias("chunks"))
     return x.withColumn("chunks_per_question", F.round(F.try_divide("chunks", "mapped"), 6))
 
 
