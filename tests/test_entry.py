@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from turnmill.functions.tokens import encoding
 from turnmill.plans import catalogue
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -44,7 +45,7 @@ def test_runs(spark, small, name):
 
 
 def test_few_have_no_sql():
-    assert set(NO_SQL) <= {"semantic_by_cells", "fts_english", "hybrid_english", "rendered_with_stamps", "rendered_plain", "chunk_sample"}
+    assert set(NO_SQL) <= {"semantic_by_cells", "fts_english", "hybrid_english", "rendered_with_stamps", "rendered_plain", "chunk_sample", "token_counts"}
 
 
 def test_rendered(spark, small):
@@ -63,3 +64,10 @@ def test_sample(spark, small):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_token_counts(spark, small):
+    rows = QUERIES["token_counts"](spark, small).collect()
+    d = spark.read.parquet(f"{small}/documents.parquet").select("source", "text").collect()
+    e = encoding()
+    assert sum(r["tokens"] for r in rows) == sum(len(e.encode_ordinary(x["text"] or "")) for x in d) and sum(r["texts"] for r in rows) == len(d)

@@ -6,9 +6,15 @@ stitched by one row a shard, so that a group of any size is never one task's.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnmill.session import cut
+
 #: Seconds of a transcript in one shard.
 SHARD_S = 900
 
@@ -67,3 +73,43 @@ def following(df: DataFrame, group: str, order: list[str], shard: Column, n: int
     x = x.withColumn("_own", own).withColumn("_block", F.explode(seen))
     w = Window.partitionBy(group, "_block").orderBy("_row").rowsBetween(0, n - 1)
     return x.withColumn(name, F.concat_ws(" ", F.collect_list("_value").over(w))).where("_block = _own").drop("_row", "_value", "_own", "_block")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``, the place of each row in the given order, from 1. ``order`` must be total.
+
+    Rows are dealt into ranges of the order and numbered inside them; only the size of each range
+    is summed over all."""
+    x = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = x.groupBy("_range").agg(F.count("*").alias("_n"))
+    # One row a range.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return x.withColumn("_own", own).join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+
+def by_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on the rows of each group of ``keys`` in the given order, as applyInPandas, but many
+    groups go to Python in one batch, which pays where groups are small. Keys are not null."""
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def worked(pdf: pd.DataFrame, ends: np.ndarray) -> Iterator[pd.DataFrame]:
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                yield work(pdf.iloc[a:b])
+
+        open_ = None
+        for pdf in batches:
+            pdf = pdf if open_ is None or open_.empty else pd.concat([open_, pdf], ignore_index=True)
+            new = np.zeros(len(pdf), bool)
+            for k in keys:
+                v = pdf[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            ends = np.flatnonzero(new)
+            if len(ends):
+                yield pd.concat(worked(pdf, ends), ignore_index=True)
+            open_ = pdf.iloc[ends[-1] if len(ends) else 0 :]
+        if open_ is not None and len(open_):
+            yield work(open_)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(groups, schema)

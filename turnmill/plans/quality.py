@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnmill.functions.tokens import n_tokens
+from turnmill.operators.ordered import numbered
 from turnmill.sources.tables import records, table
 
 USD_PER_MILLION_TOKENS = 0.13
@@ -49,6 +51,18 @@ def token_cost(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("source", "tokens", "too_long", F.ceil(F.col("n") / 100).alias("batches"), F.round(F.col("tokens") / 1e6 * USD_PER_MILLION_TOKENS, 6).alias("usd"))
 
 
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each source by a public tokenizer, and texts over the limit of one embedding request."""
+    t = table(spark, folder, "documents", "source", "text").select("source", n_tokens(F.col("text")).alias("n"))
+    return t.groupBy("source").agg(F.count("*").alias("texts"), F.sum("n").alias("tokens"), F.max("n").alias("most"), F.count_if(F.col("n") > TOKEN_LIMIT).alias("too_long"))
+
+
+def question_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Running ids for questions, in the order of those they have."""
+    q = numbered(records(spark, folder, "questions", "question_id"), ["question_id"], "n")
+    return q.select("question_id", F.format_string("q_%03d", "n").alias("running_id"))
+
+
 def _dimensions(spark: SparkSession, folder: str) -> DataFrame:
     """One row a question and category (the place in ``dimensions_used``)."""
     q = records(spark, folder, "questions", "question_id", "dimensions_used")
@@ -123,7 +137,7 @@ def quote_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    embedding_quality, null_counts, length_stats, count_match, token_cost, dimension_stats, dimension_values, combo_groups, combo_duplicates, dimension_combos, combo_cycle, insight_questions, quote_counts,
+    embedding_quality, null_counts, length_stats, count_match, token_cost, token_counts, question_numbers, dimension_stats, dimension_values, combo_groups, combo_duplicates, dimension_combos, combo_cycle, insight_questions, quote_counts,
 )}
 
 _D = """
@@ -145,6 +159,7 @@ x AS (SELECT video_id, count(*) AS stored, max(total_chunks) AS announced, count
 SELECT video_id, stored, announced, coalesce(stored = announced AND numbers = stored AND low = 1 AND high = stored, false) AS complete FROM x
 """,
     "token_cost": "SELECT source, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens, count(*) FILTER (ceil(length(text) / 4.0) > 8192) AS too_long, CAST(ceil(count(*) / 100.0) AS BIGINT) AS batches, round(sum(ceil(length(text) / 4.0)) / CAST(1e6 AS DOUBLE) * CAST(0.13 AS DOUBLE), 6) AS usd FROM documents GROUP BY source",
+    "question_numbers": "SELECT question_id, printf('q_%03d', row_number() OVER (ORDER BY question_id)) AS running_id FROM (SELECT DISTINCT question_id FROM questions)",
     "dimension_stats": _D + "SELECT CAST(category AS INT) AS category, value, count(*) AS n, CAST(max(examples) AS INT) AS examples, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY category), 1) AS share FROM d GROUP BY category, value",
     "dimension_values": _D + "SELECT CAST(category AS INT) AS category, count(DISTINCT value) AS values, count(*) AS n FROM d GROUP BY category",
     "combo_groups": _G + "SELECT combination, count(*) AS n, min(question_id) AS first_id, arg_min(CASE WHEN length(question) > 100 THEN left(question, 100) || '...' ELSE question END, question_id) AS first_question FROM g GROUP BY combination",
