@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions.text import identifier, trimmed
-from turnmill.operators.ordered import running
-from turnmill.operators.transcripts import time_of, with_offsets
+from turnmill.operators.ordered import by_groups, running
+from turnmill.operators.transcripts import with_offsets
 from turnmill.session import cut
 
 BLOCK = 100_000
 SEPARATOR = r"[.!?]\s"
+# Fixed value: white space, as expressions take it.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def separator_places(text: Column, separator: str = SEPARATOR) -> Column:
@@ -79,12 +81,9 @@ def chunk_ranges(pieces: DataFrame, size: int, overlap: int, block: int = BLOCK)
     seen = F.when((F.col("b") - own * block <= size) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     in_block = pieces.select("video_id", "b", "end", F.explode(seen).alias("k"))
     total = pieces.groupBy("video_id").agg(F.max("end").alias("total"))
-    # Blocks are few bytes but Python work, so they keep all partitions.
-    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_block = in_block.join(total, "video_id").repartition(parts, "video_id", "k")
+    in_block = in_block.join(total, "video_id")
 
     def worked(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int, np.ndarray, np.ndarray, np.ndarray, int]:
-        pdf = pdf.sort_values("b")
         b, end, total, k = pdf["b"].to_numpy(), pdf["end"].to_numpy(), int(pdf["total"].iloc[0]), int(pdf["k"].iloc[0])
         ends, nexts = _links(b, end, size, overlap)
         nexts = np.where((nexts >= total) | ((ends >= total) & (nexts < 0)), -1, nexts)
@@ -122,54 +121,74 @@ def chunk_ranges(pieces: DataFrame, size: int, overlap: int, block: int = BLOCK)
         return pd.DataFrame(out, columns=["video_id", "b", "e"])
 
     kind = pieces.schema["video_id"].dataType.simpleString()
-    links = in_block.groupBy("video_id", "k").applyInPandas(exits, f"video_id {kind}, k long, b long, leaves long")
-    entries = links.groupBy("video_id").applyInPandas(walk, f"video_id {kind}, entry long").withColumn("k", F.floor(F.col("entry") / block))
-    return in_block.join(entries, ["video_id", "k"]).repartition(parts, "video_id", "k").groupBy("video_id", "k").applyInPandas(listed, f"video_id {kind}, b long, e long")
+    links = by_groups(in_block, ["video_id", "k"], ["b"], exits, f"video_id {kind}, k long, b long, leaves long")
+    entries = by_groups(links, ["video_id"], ["b"], walk, f"video_id {kind}, entry long").withColumn("k", F.floor(F.col("entry") / block))
+    return by_groups(in_block.join(entries, ["video_id", "k"]), ["video_id", "k"], ["b"], listed, f"video_id {kind}, b long, e long")
+
+
+def _in_blocks(numbers: DataFrame, ranges: DataFrame, block: int) -> DataFrame:
+    """``(video_id, segment_id, start_char, k_needed)``: the cues that chunks beginning in a block need."""
+    extent = ranges.groupBy("video_id", "k").agg(F.min("b").alias("from"), F.max("e").alias("to"))
+    extent = extent.withColumn("j", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
+    last = F.col("start_char") + F.col("letters")
+    cues = numbers.select("video_id", "segment_id", "start_char", last.alias("last")).withColumn("j", F.explode(F.sequence(F.floor(F.col("start_char") / block), F.floor(F.col("last") / block))))
+    # A cue and a block's extent may meet in several places; the first one counts.
+    met = cues.join(extent, ["video_id", "j"]).where((F.col("start_char") < F.col("to")) & (F.col("last") >= F.col("from")) & (F.col("j") == F.floor(F.greatest("from", "start_char") / block)))
+    return met.select("video_id", "segment_id", "start_char", F.col("k").alias("k_needed"))
 
 
 def fixed_size_chunks(cues: DataFrame, size: int = 3000, overlap: int = 1500, separator: str = SEPARATOR, block: int = BLOCK) -> DataFrame:
     """``(chunk_id, video_id, title, text, cue_start, cue_end, chunk_index, total_chunks)``.
 
     The text of a video is its trimmed cue texts, in order, each followed by a space. It is cut
-    before every separator; chunks take whole pieces up to ``size`` letters and repeat at most
-    ``overlap``; a piece as long as that is a chunk of its own. Times are interpolated over the
-    letters of the cue at either end and rounded to the millisecond. Null texts count as empty;
-    videos without any letters give nothing.
+    before every separator (which must not begin with white space); chunks take whole pieces up to
+    ``size`` letters and repeat at most ``overlap``; a piece as long as that is a chunk of its own.
+    Times are interpolated over the letters of the cue at either end and rounded to the millisecond.
+    Null texts count as empty; videos without any letters give nothing, nor do chunks of white
+    space only. A cue delivered twice is one cue.
     """
     cues = cues.select("video_id", "segment_id", "title", trimmed(F.coalesce("text", F.lit(""))).alias("text"), "cue_start", "cue_end")
-    # Only numbers are sorted and summed; the texts travel once, at the end.
-    numbers = cues.select("video_id", "segment_id", "cue_start", F.length("text").alias("letters"), separator_places(F.col("text"), separator).alias("places"))
+    # Only numbers are sorted and summed; the texts travel at the end, each to the blocks of the
+    # chunks that hold it.
+    own = F.struct("cue_start", F.length("text").alias("letters"), separator_places(F.col("text"), separator).alias("places"))
+    numbers = cues.groupBy("video_id", "segment_id").agg(F.min(own).alias("own")).select("video_id", "segment_id", "own.*")
     numbers = cut(with_offsets(numbers, F.col("letters")))
-    ranges = cut(chunk_ranges(sentence_starts(numbers), size, overlap, block))
-    placed = cues.join(numbers.select("video_id", "segment_id", "start_char"), ["video_id", "segment_id"])
-    step = 1000
-    spans = ranges.withColumn("q", F.explode(F.sequence(F.floor(F.col("b") / step), F.floor((F.col("e") - 1) / step))))
-    last = F.col("start_char") + F.length("text")
-    held = placed.withColumn("q", F.explode(F.sequence(F.floor(F.col("start_char") / step), F.floor(last / step))))
-    # A cue and a chunk may meet in several steps; the first one counts.
-    both = spans.join(held, ["video_id", "q"]).where((F.col("start_char") < F.col("e")) & (last >= F.col("b")) & (F.col("q") == F.floor(F.greatest("b", "start_char") / step)))
-    cue = F.struct("start_char", "segment_id", "text", "cue_start", "cue_end")
-    x = both.groupBy("video_id", "b", "e").agg(F.max("title").alias("title"), F.array_sort(F.collect_list(cue)).alias("c"))
-    joined = F.concat(F.array_join(F.transform("c", lambda s: s["text"]), " "), F.lit(" "))
-    whole = F.substr(joined, F.col("b") - F.col("c")[0]["start_char"] + 1, F.col("e") - F.col("b"))
-    x = x.withColumn("whole", whole).withColumn("text", trimmed(F.col("whole"))).where("text <> ''")
-    lead = F.length("whole") - F.length(F.regexp_replace("whole", r"(?U)^\s+", ""))
-    x = x.withColumn("from", F.col("b") + lead).withColumn("to", F.col("from") + F.length("text") - 1)
-
-    def at(position: Column) -> Column:
-        s = F.element_at(F.filter("c", lambda s: s["start_char"] <= position), -1)
-        return F.round(time_of(position, s["start_char"], F.length(s["text"]), s["cue_start"], s["cue_end"]), 3)
-
-    x = x.select("video_id", "title", "text", at(F.col("from")).alias("cue_start"), at(F.col("to")).alias("cue_end"), "b")
-    x = running(x, "video_id", ["b"], F.floor(F.col("b") / block), chunk_index=F.lit(1)).withColumn("chunk_index", (F.col("chunk_index") + 1).cast("int"))
-    totals = ranges_total(x)
-    return x.join(totals, "video_id").select(
-        F.concat(identifier(F.coalesce("title", F.lit(""))), F.lit("_"), "video_id", F.lit("_chunk_"), "chunk_index").alias("chunk_id"), "video_id", "title", "text", "cue_start", "cue_end", "chunk_index", "total_chunks"
-    )
-
-
-def ranges_total(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("video_id").agg(F.count("*").cast("int").alias("total_chunks"))
+    opening = numbers.where("letters > 0").groupBy("video_id").agg(F.min("start_char").alias("opening"))
+    ranges = chunk_ranges(sentence_starts(numbers), size, overlap, block).join(opening, "video_id").where((F.col("b") > 0) | (F.col("e") > F.col("opening")))
+    ranges = cut(ranges)  # read twice to number them
+    ranges = running(ranges.select("video_id", "b", "e"), "video_id", ["b"], F.floor(F.col("b") / block), chunk_index=F.lit(1))
+    ranges = cut(ranges.select("video_id", "b", "e", F.floor(F.col("b") / block).alias("k"), (F.col("chunk_index") + 1).cast("int").alias("chunk_index")))
+    totals = ranges.groupBy("video_id").agg(F.count("*").cast("int").alias("total_chunks"))
+    held = cues.join(_in_blocks(numbers, ranges, block), ["video_id", "segment_id"])
+
+    def written(both: pd.DataFrame) -> pd.DataFrame:
+        asked, told = both[both["chunk_index"].notna()], both[both["chunk_index"].isna()]
+        told = told[~told["place"].duplicated()]
+        start, texts, title = told["place"].to_numpy(), told["text"].tolist(), told["title"].tolist()
+        begins, ends = told["cue_start"].to_numpy(float), told["cue_end"].to_numpy(float)
+        letters = np.array([len(x) for x in texts])
+        whole, base, out = " ".join(texts) + " ", int(start[0]) if len(start) else 0, []
+
+        def at(position: int) -> float:
+            i = int(np.searchsorted(start, position, "right")) - 1
+            return begins[i] + (position - start[i]) / max(letters[i], 1) * (ends[i] - begins[i])
+
+        for b, e, index in zip(asked["place"].tolist(), asked["e"].astype(int).tolist(), asked["chunk_index"].astype(int).tolist(), strict=True):
+            text = whole[b - base : e - base]
+            head = text.lstrip(WHITE)
+            first, text = b + len(text) - len(head), head.rstrip(WHITE)
+            i, j = (int(np.searchsorted(start, x, side)) for x, side in ((first, "right"), (e, "left")))
+            names = [x for x in title[max(i - 1, 0) : j] if x is not None]
+            out.append((both["video_id"].iloc[0], max(names, default=None), text, at(first), at(first + len(text) - 1), index))
+        return pd.DataFrame(out, columns=["video_id", "title", "text", "cue_start", "cue_end", "chunk_index"])
+
+    kind = cues.schema["video_id"].dataType.simpleString()
+    asked = ranges.select("video_id", "k", F.col("b").alias("place"), "e", "chunk_index")
+    told = held.select("video_id", F.col("k_needed").alias("k"), F.col("start_char").alias("place"), "text", "title", "cue_start", "cue_end")
+    both = asked.unionByName(told, allowMissingColumns=True)
+    x = by_groups(both, ["video_id", "k"], ["place"], written, f"video_id {kind}, title string, text string, cue_start double, cue_end double, chunk_index int")
+    name = F.concat(identifier(F.coalesce("title", F.lit(""))), F.lit("_"), "video_id", F.lit("_chunk_"), "chunk_index")
+    return x.join(totals, "video_id").select(name.alias("chunk_id"), "video_id", "title", "text", F.round("cue_start", 3).alias("cue_start"), F.round("cue_end", 3).alias("cue_end"), "chunk_index", "total_chunks")
 
 
 def sliding_windows(docs: DataFrame, doc_id: str, text: str, size: int, step: int) -> DataFrame:
