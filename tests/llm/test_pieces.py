@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from turnmill.llm.pieces import cuts, pieces_of, split_oversized
-from turnmill.llm.tokens import RANKS, encoding, splits
+from turnmill.functions.tokens import RANKS, encoding, splits
 
 
 def check(text, limit, overlap):

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.tokens import RANKS, counts, encoding, splits
+from turnmill.functions.tokens import RANKS, counts, encoding, splits
 
 KINDS = ("none", "word", "sentence", "line", "paragraph", "end")
 
