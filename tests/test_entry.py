@@ -45,7 +45,7 @@ def test_runs(spark, small, name):
 
 
 def test_few_have_no_sql():
-    assert set(NO_SQL) <= {"semantic_by_cells", "fts_english", "hybrid_english", "rendered_with_stamps", "rendered_plain", "chunk_sample", "token_counts"}
+    assert set(NO_SQL) == {"semantic_by_cells", "fts_english", "hybrid_english", "token_counts"}
 
 
 def test_rendered(spark, small):

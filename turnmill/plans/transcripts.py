@@ -96,7 +96,7 @@ def timing_by_words(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Five chunks at random, the same ones for the same table."""
-    return records(spark, folder, "fixed_chunks", "id", "title", "text").orderBy(F.xxhash64("id"), "id").limit(5).select("id", "title", X.preview(F.col("text"), 200).alias("preview"))
+    return records(spark, folder, "fixed_chunks", "id", "title", "text").orderBy(F.md5(F.col("id").cast("string")), "id").limit(5).select("id", "title", X.preview(F.col("text"), 200).alias("preview"))
 
 
 def time_stamps(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +128,27 @@ j AS (SELECT chunk_id, count(*) AS cues, sum(coalesce(length(text), 0)) AS lette
 k AS (SELECT c.chunk_id, coalesce(cues, 0) AS cues, CAST(coalesce(letters, 0) AS BIGINT) AS letters, round(a - cue_start, 3) AS start_off, round(z - cue_end, 3) AS end_off FROM c LEFT JOIN j ON j.chunk_id = c.chunk_id)
 """
 
+
+
+def _rendered_sql(stamps: bool) -> str:
+    seconds = lambda c: f"regexp_replace(regexp_replace(printf('%.3f', {c}), '0+$', ''), '\\.$', '')"
+    line = f"coalesce('[' || {seconds('cue_start')} || ' - ' || {seconds('cue_end')} || '] ' || text, text)" if stamps else "text"
+    minutes = "printf('%02d:%02d', w // 60, w % 60)"
+    time = minutes if stamps else f"CASE WHEN w >= 3600 THEN printf('%02d:%02d:%02d', w // 3600, w // 60 % 60, w % 60) ELSE {minutes} END"
+    return f"""
+WITH s AS (SELECT DISTINCT segment_id, video_id, title, cue_start, cue_end, coalesce(trim(text, E' \\t\\n\\r'), '') AS text, CASE WHEN lower(trim(vimeo_generated_speaker)) IN ('', 'nan') THEN '' ELSE coalesce(trim(vimeo_generated_speaker), '') END AS who FROM segments),
+n AS (SELECT *, row_number() OVER w AS i, coalesce(who <> lag(who) OVER w, true) AS new FROM s WINDOW w AS (PARTITION BY video_id ORDER BY cue_start NULLS FIRST, segment_id)),
+l AS (SELECT *, CASE WHEN i = 1 THEN '' WHEN new THEN E'\\n\\n' ELSE {"E'\\n'" if stamps else "' '"} END || CASE WHEN new AND who <> '' THEN '**[Speaker ' || who || E']**\\n\\n' ELSE '' END || {line} AS line FROM n),
+v AS (SELECT video_id, max(title) AS title, count(*) AS n_cues, arg_max(cue_end, i) AS seconds, list_sort(list(DISTINCT who) FILTER (who <> '')) AS speakers, string_agg(line, '' ORDER BY i) AS lines, CAST(floor(arg_max(cue_end, i)) AS BIGINT) AS w FROM l GROUP BY video_id)
+SELECT video_id, title, n_cues, seconds, CAST(coalesce(len(speakers), 0) AS INT) AS speakers, '# ' || coalesce(title, 'untitled') || E'\\n\\n**Duration:** ' || coalesce({time}, 'unknown') || E'\\n**Number of Segments:** ' || n_cues
+       || E'\\n**Speakers:** ' || coalesce(array_to_string(speakers, ', '), '') || E'\\n\\n---\\n\\n' || lines AS body FROM v
+"""
+
+
 SQL = {
+    "rendered_with_stamps": _rendered_sql(True),
+    "rendered_plain": _rendered_sql(False),
+    "chunk_sample": "SELECT id, title, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM (SELECT DISTINCT id, title, text FROM fixed_chunks) ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT 5",
     "segment_offsets": _OFFSETS + "SELECT video_id, segment_id, row_no, CAST(start_char AS BIGINT) AS start_char FROM o",
     "char_to_time": _OFFSETS + """,
 p AS (SELECT *, coalesce(length(text), 0) AS len FROM o),
