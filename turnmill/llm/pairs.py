@@ -104,6 +104,11 @@ REFUSALS = [
     r"\bkan\b.*\bniet (?:helpen|beantwoorden|geven)",
     r"(?:お答え|回答|お手伝い|対応)(?:は|を)?(?:でき|いたしかね|しかね)",
 ]
+# Each refusal holds one of these; most answers hold none and need no grammar.
+_HINTS = (
+    "can't", "cannot", "can not", "could not", "couldn't", "won't", "will not", "am not", "are not", "'m not", "unable", "not able", "not allowed", "not permitted", "rather not", "prefer not", "decline", "refuse",
+    "falls outside", "for me to", "nothing", "request", "guidelines", "polic", "rules", "instructions", "no answer", "enough", "access to", "relying on me", "je ne", "no puedo", "no podemos", "nicht", "non poss", "não po", "niet", "お", "回答", "対応",
+)
 FILLERS = [
     r"\bthanks? (?:you )?for (?:asking|your)", r"\bgood question\b", r"\b(?:sorry|apologies|unfortunately|regret)\b", r"\bplease (?:consult|contact|ask|see|speak|refer|check)\b",
     r"\bis there (?:something|anything) else\b", r"\bfeel free\b", r"\byou may (?:wish|want|like)\b", r"\bcommon (?:worry|question|concern)\b", r"\bcomes up in\b", r"\braise a (?:good |fair )?point\b",
@@ -123,6 +128,9 @@ _WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_]+")
 _LEAD_IN = re.compile(r"^\s*(?:q|question|the question is|you ask(?:ed)?|you asked whether|to repeat|your question)\s*[:\-–—]\s*|\s*\b(?:answer|a)\s*:\s*$", re.I)
 # Abbreviations that something has to follow.
 _GOING_ON = re.compile(r"(?:^|[\s(,])(?:(?i:vs|i\.\s?e|e\.\s?g|cf|viz|approx|incl|esp|resp|art|arts|sec|fig|figs|para|vol|chap|ch|ed|eds|pp?|mr|mrs|ms|dr|prof|z\.\s?b|d\.\s?h|bzw|p\. ?ej|par ex|bijv)|(?<=[a-z,;] )Nos?)\.$")
+_STOPS = tuple(".!?。！？")
+# Spaces of any kind and invisible characters.
+_BLANK = "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "".join(map(chr, [*range(0x200B, 0x2010), 0x2060, 0xFEFF]))
 _WHOLE_END = re.compile(r"(?:https?://|www\.)\S+$|[\U0001F300-\U0001FAFF☀-➿✀-➿]️?$")
 
 
@@ -168,7 +176,7 @@ def is_truncated(answer: str) -> bool:
     number of steps has to number them. A short phrase without any punctuation that ends in a
     whole word is a reply in telegraph style.
     """
-    text = re.sub(r"[\s​-‏⁠﻿]+$", "", answer)
+    text = answer.rstrip(_BLANK)
     if open_ := open_marks(text):
         return bool(open_)
     if text.endswith("```"):
@@ -184,14 +192,16 @@ def is_truncated(answer: str) -> bool:
         stopped = [bool(re.search(r"[.!?。！？;]$", x)) for x in said]
         alike = len(sizes) > 2 and len(set(sizes[:-1])) == 1 and sizes[-1] < sizes[0] and not stopped[-1]
         return not sizes[-1] or alike or (len(said) > 2 and all(stopped[:-1]) and not stopped[-1])
-    bare = re.sub(r"[\"'’”»」』)\]*_`]+$", "", re.sub(r"(?:</[a-zA-Z0-9]+>)+$", "", text))
-    if re.search(r"(?:\.{2,}|…)$", bare) or _GOING_ON.search(bare) or re.search(r"(?:^|[.!?:;]\s+|\n\s*)\d{1,2}[.)]$", text):
+    bare = (re.sub(r"(?:</[a-zA-Z0-9]+>)+$", "", text) if text[-1] == ">" else text).rstrip("\"'’”»」』)]*_`")
+    if bare.endswith(("..", "…")) or _GOING_ON.search(bare[-16:]):
+        return True
+    if text[-1] in ".)" and text[-2:-1].isdigit() and re.search(r"(?:^|[.!?:;]\s+|\n\s*)\d{1,2}[.)]$", text):
         return True
     if (steps := re.match(r"\s*(?:there are|here are)\s+(\w+)\s+(?:steps|points|reasons|things|parts|ways)", text, re.I)) and (told := re.findall(r"(?:^|\s)(\d{1,2})[.)]\s", text)):
         wanted = NUMBERS.get(steps[1].lower()) or (int(steps[1]) if steps[1].isdigit() else 0)
         if len(told) < wanted:
             return True
-    if re.search(r"[.!?。！？]$", bare) or text[-1:] in ")]”»」』\"'>" or _WHOLE_END.search(text):
+    if bare[-1:] in _STOPS or text[-1:] in ")]”»」』\"'>" or _WHOLE_END.search(text):
         return False
     return not re.fullmatch(r"[A-Z][\w'’-]*(?: [\w'’-]+){0,3} (?!(?:" + "|".join(FUNCTION_WORDS["en"].split()) + r")$)[^\W\d_]{3,}", text)
 
@@ -200,7 +210,7 @@ def is_refusal(answer: str) -> bool:
     """Declines, and says nothing else: sentences that refuse or are without content hold at least
     twice the words of the others, and none goes on to tell something after refusing."""
     text = answer.lower().replace("’", "'")
-    if not _REFUSAL.search(text):
+    if not any(x in text for x in _HINTS) or not _REFUSAL.search(text):
         return False
     left, refused = 0, 0
     for sentence in re.split(r"(?<=[.!?。！？])\s*(?=\S)", text):
