@@ -39,4 +39,18 @@ y AS (SELECT k, string_agg(word, ' ') OVER w AS run, count(*) OVER w AS n FROM e
 SELECT DISTINCT x.k AS doc_id, y.k AS item_id FROM x JOIN y ON x.run = y.run WHERE x.n = 13 AND y.n = 13
 """
 
-SQL = {"p4_found": P4_FOUND, "p4_shared_part": P4_SHARED_PART, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
+P7_PASSAGES = r"""
+WITH t AS (SELECT doc_id AS k, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+u AS (SELECT k, unnest(w) AS part, unnest(range(0, len(w))) AS n FROM t),
+o AS (SELECT k, part, sum(length(part)) OVER (PARTITION BY k ORDER BY n) AS until FROM u),
+d AS (SELECT k, lower(part) AS word, until - length(part) AS a, until AS z, row_number() OVER (PARTITION BY k ORDER BY until) AS i FROM o WHERE regexp_matches(part, '^[\p{L}\p{N}]')),
+e AS (SELECT item_id AS k, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items)),
+x AS (SELECT k, i, a, last_value(z) OVER w AS z, string_agg(word, ' ') OVER w AS run, count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+y AS (SELECT k, string_agg(word, ' ') OVER w AS run, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+h AS (SELECT DISTINCT x.k AS doc_id, y.k AS item_id, x.i, x.a, x.z FROM x JOIN y ON x.run = y.run WHERE x.n = 13 AND y.n = 13),
+f AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) + 12 THEN 0 ELSE 1 END AS fresh FROM h),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS island FROM f)
+SELECT doc_id, item_id, CAST(min(a) AS INT) AS start, CAST(max(z) AS INT) AS "end" FROM g GROUP BY doc_id, item_id, island
+"""
+
+SQL = {"p7_passages": P7_PASSAGES, "p4_found": P4_FOUND, "p4_shared_part": P4_SHARED_PART, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
