@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +15,7 @@ from turnmill.functions.text import first_words, matchable, normalized, normaliz
 from turnmill.session import cut
 
 KEY = 5  # words of a search key, at most
+FILTER = 27  # binary logarithm of the bits that tell which runs are asked for: 16 MB
 GRAM = 8  # letters by which a single word is looked up in others, at most
 
 
@@ -20,9 +25,36 @@ def _runs(ws: Column, k: int) -> Column:
     return F.arrays_zip(*[F.slice(ws, i + 1, F.greatest(n, F.lit(0))).alias(f"w{i}") for i in range(k)])
 
 
-def _keys(ws: Column, k: int = KEY) -> Column:
-    """Fingerprints of :func:`_runs`."""
-    return F.transform(_runs(ws, k), lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(k)]))
+@lru_cache(1 << 18)
+def _number(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _numbers(text: str) -> np.ndarray:
+    """The words of a one-spaced text as fingerprints."""
+    ws = [w for w in text.split(" ") if w]
+    return np.fromiter(map(_number, ws), np.uint64, len(ws))
+
+
+def _keys(numbers: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of all runs of ``k`` words."""
+    n = max(len(numbers) - k + 1, 0)
+    x = np.full(n, k, np.uint64)
+    for j in range(k if n else 0):
+        x = (x ^ numbers[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x
+
+
+def _bits_of(keys: DataFrame) -> np.ndarray:
+    """A filter of the keys, of 2 ** :data:`FILTER` bits whatever their number."""
+    place = F.shiftrightunsigned("_key", 64 - FILTER) + 1  # bitmaps count from 1
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = np.zeros((1 << FILTER) // 8, np.uint8)
+    for n, own in parts:
+        at = (n - 1) * len(own)
+        bits[at : at + len(own)] = np.frombuffer(bytes(own), np.uint8)
+    return bits
 
 
 def _around_space(a: Column, i: int, b: Column, j: int) -> Column:
@@ -31,7 +63,7 @@ def _around_space(a: Column, i: int, b: Column, j: int) -> Column:
 
 
 def _units_with(short: DataFrame, texts: DataFrame, sizes: list[int]) -> DataFrame:
-    """``(_phrase, _key)``: for phrases of one or two words the words, or pairs of neighbours, of
+    """``(_phrase, _unit)``: for phrases of one or two words the words, or pairs of neighbours, of
     the texts that contain them, by letters in common."""
     half, found = GRAM // 2, []
     for k in sizes:
@@ -44,8 +76,8 @@ def _units_with(short: DataFrame, texts: DataFrame, sizes: list[int]) -> DataFra
             grams = F.array(*[_around_space(ws[0], i, ws[1], j) for i in range(1, half + 1) for j in range(1, half + 1)])
             gram = _around_space(F.try_element_at("_w", F.lit(1)), half, F.try_element_at("_w", F.lit(2)), half)
         asked = short.where(F.size("_w") == k).select("_phrase", gram.alias("_gram"))
-        unit = unit.select("_unit", F.xxhash64(*ws).alias("_key"), F.explode(F.array_distinct(grams)).alias("_gram"))
-        found.append(unit.join(asked, "_gram").where(F.contains("_unit", "_phrase")).select("_phrase", "_key"))
+        unit = unit.select("_unit", F.explode(F.array_distinct(grams)).alias("_gram"))
+        found.append(unit.join(asked, "_gram").where(F.contains("_unit", "_phrase")).select("_phrase", "_unit"))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
@@ -53,32 +85,59 @@ def located(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFrame, t
     """``(phrase_id, text_id)`` where the text contains the phrase; both in normal form already.
 
     A text that contains a phrase contains all its inner words in a row, so the phrase looks
-    itself up by its rarest inner run of five words, or by all inner words if they are fewer, and
-    is then compared exactly. Phrases of one or two words have none inside and are looked up in
-    the texts' words and pairs of words. Empty and null phrases match nothing. Copies of a phrase
-    or a text are compared once.
+    itself up by an inner run of five words, the rarest of the three with the least fingerprints,
+    or by all inner words if they are fewer, and is then compared exactly. Phrases of one or two
+    words have none inside and are looked up in the texts' words and pairs of words. Of the runs of
+    the texts only those go on that some phrase may have asked for, by a filter of fixed size.
+    Empty and null phrases match nothing. Copies of a phrase or a text are compared once; only
+    numbers are shuffled but for one pass of the phrases and one of the texts.
     """
-    p = phrases.select(F.col(phrase_id).alias("_pid"), F.col(phrase).alias("_phrase")).where(F.col("_phrase").isNotNull())
-    t = texts.select(F.col(text_id).alias("_tid"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    own = p.select("_phrase").distinct().withColumn("_w", words(F.col("_phrase"))).where(F.size("_w") > 0)
+    p = phrases.select(F.col(phrase_id).alias("_pid"), F.col(phrase).alias("_phrase")).where(F.col("_phrase").isNotNull()).withColumn("_p", F.xxhash64("_phrase"))
+    t = texts.select(F.col(text_id).alias("_tid"), F.col(text).alias("_text")).where(F.col("_text").isNotNull()).withColumn("_t", F.xxhash64("_text"))
+    own = p.select("_p", "_phrase").distinct().withColumn("_w", words(F.col("_phrase"))).where(F.size("_w") > 0)
+    once = t.groupBy("_t").agg(F.first("_text").alias("_text"))
     # Texts are cut into runs of those lengths only that some phrase needs; at most seven numbers.
     sizes = sorted(r[0] for r in own.select(F.least(F.size("_w"), F.lit(KEY + 2))).distinct().collect())
     inner, units = [n - 2 for n in sizes if n > 2], [n for n in sizes if n <= 2]
-    lengths = sorted({*inner, *units}) or [KEY]
-    once = t.select("_text").distinct().select(F.xxhash64("_text").alias("_t"), words(F.col("_text")).alias("_i"))
-    posting = once.select("_t", F.explode(F.array_distinct(F.concat(*[_keys(F.col("_i"), k) for k in lengths]))).alias("_key"))
-    long = own.where(F.size("_w") > 2).withColumn("_i", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
-    keys = F.coalesce(*[F.when(F.least(F.size("_i"), F.lit(KEY)) == k, _keys(F.col("_i"), k)) for k in inner or [KEY]])
-    long = long.withColumn("_key", F.explode(F.array_distinct(keys))).select("_phrase", "_key")
-    short = cut(_units_with(own, once, units)) if units else None
-    asked = (long.select("_key").unionByName(short.select("_key")) if units else long.select("_key")).distinct()
-    # Only the runs that some phrase asks for; counted first and joined after, so written once.
-    wanted = cut(posting.select("_key", "_t").join(asked, "_key", "left_semi"))
-    frequency = wanted.groupBy("_key").agg(F.count("*").alias("_df"))
-    rarest = long.join(frequency, "_key").groupBy("_phrase").agg(F.min(F.struct("_df", "_key")).alias("_m")).select("_phrase", F.col("_m._key").alias("_key"))
-    hits = (rarest.unionByName(short) if units else rarest).join(wanted, "_key").join(t.select("_text").distinct().withColumn("_t", F.xxhash64("_text")), "_t")
-    hits = hits.where(F.contains("_text", "_phrase")).select("_phrase", "_text").distinct()
-    return p.join(hits, "_phrase").join(t, "_text").select(F.col("_pid").alias("phrase_id"), F.col("_tid").alias("text_id")).distinct()
+    lengths = sorted({*inner, *units})
+
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [np.sort(_keys(x, min(len(x), KEY)))[:3] for x in (_numbers(y)[1:-1] for y in pdf["_phrase"])]
+            yield pd.DataFrame({"_p": np.repeat(pdf["_p"].to_numpy(), [len(k) for k in keys]), "_key": np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)})
+
+    def unit_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"_p": pdf["_p"], "_key": np.array([_keys(x, len(x))[0] for x in map(_numbers, pdf["_unit"])], np.uint64).view(np.int64)})
+
+    asked = own.where(F.size("_w") > 2).select("_p", "_phrase").mapInPandas(asking, "_p long, _key long")
+    if units:
+        short = _units_with(own, once.select(words(F.col("_text")).alias("_i")), units).join(own.select("_phrase", "_p"), "_phrase")
+        asked = asked.unionByName(short.select("_p", "_unit").mapInPandas(unit_keys, "_p long, _key long"))
+    asked = cut(asked)
+    sent = t.sparkSession.sparkContext.broadcast(_bits_of(asked))
+
+    def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = sent.value
+        for pdf in batches:
+            told = []
+            for text in pdf["_text"]:
+                x = _numbers(text)
+                keys = np.unique(np.concatenate([np.empty(0, np.uint64), *[_keys(x, k) for k in lengths]]))
+                place = (keys >> np.uint64(64 - FILTER)).astype(np.int64)
+                told.append(keys[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0])
+            yield pd.DataFrame({"_t": np.repeat(pdf["_t"].to_numpy(), [len(k) for k in told]), "_key": np.concatenate([np.empty(0, np.uint64), *told]).view(np.int64)})
+
+    told = cut(once.mapInPandas(telling, "_t long, _key long"))
+    frequency = told.groupBy("_key").agg(F.count("*").alias("_df"))
+    # Of a short phrase every unit counts, of a long one the rarest run.
+    many = own.select("_p", (F.size("_w") <= 2).alias("_all"))
+    rarest = asked.join(frequency, "_key").join(many, "_p")
+    keep = rarest.where("not _all").groupBy("_p").agg(F.min(F.struct("_df", "_key")).alias("_m")).select("_p", F.col("_m._key").alias("_key"))
+    keep = keep.unionByName(rarest.where("_all").select("_p", "_key")) if units else keep
+    pairs = keep.join(told, "_key").select("_p", "_t").distinct()
+    hits = pairs.join(own.select("_p", "_phrase"), "_p").join(once, "_t").where(F.contains("_text", "_phrase")).select("_p", "_t")
+    return p.select("_pid", "_p").join(hits, "_p").join(t.select("_tid", "_t"), "_t").select(F.col("_pid").alias("phrase_id"), F.col("_tid").alias("text_id")).distinct()
 
 
 def word_overlaps(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFrame, text_id: str, text: str, least: int = 80, letters: int = 2_000_000) -> DataFrame:
