@@ -135,8 +135,7 @@ def located(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFrame, t
     rarest = asked.join(frequency, "_key").join(many, "_p")
     keep = rarest.where("not _all").groupBy("_p").agg(F.min(F.struct("_df", "_key")).alias("_m")).select("_p", F.col("_m._key").alias("_key"))
     keep = keep.unionByName(rarest.where("_all").select("_p", "_key")) if units else keep
-    pairs = keep.join(told, "_key").select("_p", "_t").distinct()
-    hits = pairs.join(own.select("_p", "_phrase"), "_p").join(once, "_t").where(F.contains("_text", "_phrase")).select("_p", "_t")
+    hits = keep.join(own.select("_p", "_phrase"), "_p").join(told, "_key").join(once, "_t").where(F.contains("_text", "_phrase")).select("_p", "_t")
     return p.select("_pid", "_p").join(hits, "_p").join(t.select("_tid", "_t"), "_t").select(F.col("_pid").alias("phrase_id"), F.col("_tid").alias("text_id")).distinct()
 
 
